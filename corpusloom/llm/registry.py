@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, langid, line_dedup, url_filters, warc
+from corpusloom.llm import bpe, fingerprints, langid, line_dedup, url_filters, warc
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op4_warc": warc.op4_warc,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
 }
