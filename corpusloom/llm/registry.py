@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, fingerprints, langid, line_dedup, url_filters, warc
+from corpusloom.llm import bpe, fingerprints, langid, line_dedup, near_dedup, url_filters, warc
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {
     "op4_warc": warc.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_url_filters": url_filters.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
