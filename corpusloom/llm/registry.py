@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, fingerprints, langid, line_dedup, near_dedup, url_filters, warc
+from corpusloom.llm import bpe, decontaminate, fingerprints, langid, line_dedup, lm, near_dedup, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": langid.op2_language_id,
+    "op3_lm_scores": lm.op3_lm_scores,
     "op4_warc": warc.op4_warc,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
