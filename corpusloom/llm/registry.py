@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, fingerprints, langid, line_dedup, lm, near_dedup, url_filters, warc
+from corpusloom.llm import bpe, decontaminate, fingerprints, langid, line_dedup, lm, near_dedup, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 ORACLES = {
