@@ -22,8 +22,9 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def _load() -> None:
+def load() -> None:
+    """Imports the modules whose queries register themselves."""
     import importlib
 
-    for m in ("words", "articles", "rules", "tokenizers", "vectors", "scoring", "runs"):
+    for m in ("word_queries", "article_queries", "rule_queries", "tokenizer_queries", "vector_queries", "scoring_queries"):
         importlib.import_module(f"corpusloom.plans.{m}")
