@@ -319,6 +319,24 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The rows with n_tokens, ids, and exact: whether the ids decode to the text's bytes. A null text is empty."""
+    names = docs.columns
+
+    def rows(batches):
+        enc = encoder(path, pattern)
+        for b in batches:
+            text = b.column(names.index("text")).to_pylist()
+            coded = enc.encode(text)
+            exact = [decode(enc.ranks, x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(coded, text)]
+            size = np.array([len(x) // 4 for x in coded], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size), ids, pa.array(exact, pa.bool_())], [*names, "n_tokens", "ids", "exact"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(rows, f"{schema}, n_tokens long, ids array<int>, exact boolean")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
