@@ -1,26 +1,25 @@
 """Near-duplicate documents by a signature-coordinate inverted join, links confirmed on full shingle sets.
 
 Every document has K MinHash coordinates. A pair whose resemblance is at least the limit agrees in at least T of them
-but for a chance of about one in a million (T lies five standard deviations below the mean). A pair that agrees in
+but for a chance of about one in a million (T lies 4.6 standard deviations below the mean). A pair that agrees in
 T of K must share one of the first K - T + 1 (the prefix); so documents are posted under these coordinate-value pairs only,
 and a posting list counts the other collisions from the 1-byte coordinates its rows carry, skipping documents whose
-sizes or counts rule out a link.
+sizes rule out a link.
 
 Equal sets are one class with one representative before anything is posted, so copies meet in a groupBy with partial
-aggregation. Lists of up to `SHORT` classes give their candidate pairs at once. The classes of longer lists (a
-passage many documents share, a large group of near copies) go another way, which is exact for what they share:
+aggregation. Lists of up to `SHORT` classes give their candidate pairs at once; these are joined to the sets by doc_id and
+intersected. A longer list (a passage many documents share, a large group of near copies) never gives its pairs. It is cut
+by runs of equal further coordinates, in such a way that every candidate pair shares one, and gives a
+spanning forest of its candidate graph: at most one row for each member. The components of all forests are candidate
+groups. Their members' sets are dealt in blocks of `GROUP` members, each pair of blocks to a task, which counts all
+intersections as products of incidence matrices and gives a spanning forest of the confirmed links. Memory is bounded by
+the block; the work within one candidate group (near copies that all differ) grows with the square of its blocks.
 
-1. Shingles that only one of these classes has can't be common. What is left of each set bounds its links from above
-   (`rest`), and classes that can't reach the limit leave.
-2. The lists are posted anew with what remains. Long ones give each member's best few partners first, fewest lone shingles
-   first, which are confirmed and merged; then all candidate pairs that still lie in different components, and are not known yet.
-
-Confirmation joins the pairs to the sets by doc_id and intersects them. Components are found by
-repeated minimum labels with shortcuts, checkpointed to the shared folder.
+Components are found by repeated minimum labels with shortcuts, checkpointed to the shared folder.
 
 Defined cases: a document without words has an empty set, links with nothing and is kept; fewer words than a shingle are
-one shingle; a null doc_id is treated as the least id; rows that repeat a doc_id are joined under that id as one document with
-the union of their sets' classes, and each row is returned with the id's component; an empty table gives none.
+one shingle; a null doc_id is treated as the least id; rows that repeat a doc_id are one node of the graph, with the links of each,
+and each row is returned with the id's component; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,8 +32,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, Rolling, mix, runs, staged, spread, utf8, words
 from corpusloom.session import table
 
-#: Coordinates; standard deviations below the mean that still count; classes in a short list; first partners in a long one.
-K, SIGMAS, SHORT, FIRST = 64, 4.6, 48, 4
+#: Coordinates; standard deviations below the mean that still count; classes in a short list; members of a block.
+K, SIGMAS, SHORT, GROUP = 64, 4.6, 16, 512
+#: Columns of an incidence matrix held at once.
+WIDTH = 4096
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(1, 1 << 62, 128, dtype=np.uint64)
 
@@ -155,73 +156,134 @@ def _columns(t: pa.Table, width: int) -> list[np.ndarray]:
     return out
 
 
-def _candidates(i: int, later: np.ndarray, sig: np.ndarray, n: np.ndarray, rest: np.ndarray, t: int, limit: int) -> np.ndarray:
-    """Those of `later` that agree with row i in t coordinates and that sizes and shared shingles don't rule out."""
-    o = np.minimum(np.minimum(rest[i], rest[later]), np.minimum(n[i], n[later]))
-    later = later[100 * o >= limit * (n[i] + n[later] - o)]
-    return later[(sig[later] == sig[i]).sum(1) >= t] if len(later) else later
+def _candidates(i: int, others: np.ndarray, sig: np.ndarray, n: np.ndarray, t: int, limit: int) -> np.ndarray:
+    """Those of `others` that agree with row i in t coordinates and whose sizes don't rule out a link."""
+    others = others[100 * np.minimum(n[i], n[others]) >= limit * np.maximum(n[i], n[others])]
+    return others[(sig[others] == sig[i]).sum(1) >= t] if len(others) else others
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return up
+        parent = up
+
+
+def spanning(sig: np.ndarray, n: np.ndarray, t: int, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the candidate graph of one list.
+
+    A pair that agrees in t of K coordinates agrees in all of at least one of any K - t + 1 groups of them; so only members with
+    an equal group are compared, and of these only members that are not connected yet.
+    """
+    root, edges = np.arange(len(n)), []
+    for cols in np.array_split(np.arange(sig.shape[1]), sig.shape[1] - t + 1):
+        code = np.zeros(len(n), np.int64)
+        for c in cols:
+            code = code << 8 | sig[:, c]
+        order = np.argsort(code, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        ends = np.r_[cut[1:], len(n)]
+        for a, z in zip(cut[ends - cut > 1], ends[ends - cut > 1]):
+            run = order[a:z]
+            for i in run:
+                others = run[root[run] != root[i]]
+                if not len(others):
+                    if (root[run] == root[run[0]]).all():
+                        break
+                    continue
+                for j in _candidates(i, others, sig, n, t, limit):
+                    if root[i] != root[j]:
+                        edges.append((i, j))
+                        root[root == root[j]] = root[i]
+    return edges
 
 
-def _pairs_rows(a: list, b: list) -> pa.RecordBatch:
+_FOUND = "a long, b long, long boolean"
+
+
+def _found(a: list, b: list, far: list) -> pa.RecordBatch:
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(np.concatenate(far) if far else np.zeros(0, bool), pa.bool_())], ["a", "b", "long"]
+    )
 
 
-def _short_lists(t: int, limit: int):
-    """From (key, doc_id, n, sig): candidate pairs of short lists; members of long ones as pairs with themselves."""
+def _posting_lists(t: int, limit: int):
+    """From (key, doc_id, n, sig): candidate pairs of short lists, spanning forests of long ones."""
 
     def rows(batches):
-        a, b, held = [], [], 0
+        a, b, far, held = [], [], [], 0
         for _, doc, n, sig in _lists(batches, K):
             if len(doc) > SHORT:
-                a.append(doc)
-                b.append(doc)
+                pairs = np.array(spanning(sig, n, t, limit), np.int64).reshape(-1, 2)
             else:
-                for i in range(len(doc) - 1):
-                    x = _candidates(i, np.arange(i + 1, len(doc)), sig, n, n, t, limit)
-                    a.append(np.full(len(x), doc[i]))
-                    b.append(doc[x])
-            held += len(b[-1])
+                pairs = np.array([(i, j) for i in range(len(doc) - 1) for j in _candidates(i, np.arange(i + 1, len(doc)), sig, n, t, limit)], np.int64).reshape(-1, 2)
+            if len(pairs):
+                a.append(doc[pairs[:, 0]])
+                b.append(doc[pairs[:, 1]])
+                far.append(np.full(len(pairs), len(doc) > SHORT))
+                held += len(pairs)
             if held > 50_000:
-                yield _pairs_rows(a, b)
-                a, b, held = [], [], 0
-        yield _pairs_rows(a, b)
+                yield _found(a, b, far)
+                a, b, far, held = [], [], [], 0
+        yield _found(a, b, far)
 
     return rows
 
 
-def _long_lists(t: int, limit: int, first: bool):
-    """From (key, doc_id, n, sig, rest, label): the best few partners of each member, or all that have another label."""
+def forest(sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, by all intersections at once."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count > 1
+    col = (np.cumsum(common) - 1)[at]
+    keep = common[at]
+    row, col = row[keep], col[keep]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(common.sum()), WIDTH):
+        a, z = np.searchsorted(col, [first, first + WIDTH])
+        m = np.zeros((len(sets), WIDTH), np.float32)
+        m[row[a:z], col[a:z] - first] = 1
+        both += m @ m.T
+    linked = 100 * both >= limit * (size[:, None] + size[None, :] - both)
+    edges, free = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not free[start]:
+            continue
+        free[start], queue = False, [start]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & free)
+            free[new] = False
+            edges += [(i, j) for j in new]
+            queue += new.tolist()
+    return edges
+
+
+def _blocks(limit: int):
+    """From (key, doc_id, shingles) sorted by key, a pair of blocks for each key: confirmed links."""
+
+    def links(doc: list, sets: list) -> pa.RecordBatch:
+        pairs = np.array(forest(sets, limit), np.int64).reshape(-1, 2)
+        ids = np.array(doc, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
     def rows(batches):
-        a, b, held = [], [], 0
-        for _, doc, n, sig, rest, label in _lists(batches, K):
-            order = np.argsort((n - rest) / np.maximum(n, 1), kind="stable")
-            doc, n, sig, rest, label = doc[order], n[order], sig[order], rest[order], label[order]
-            if first:
-                # members in order of their lone shingles: the first ones are the likely centres
-                need = np.full(len(doc), FIRST)
-                need[0] = 0
-                for i in range(len(doc) - 1):
-                    later = np.flatnonzero(need[i + 1 :]) + i + 1
-                    if not len(later):
-                        break
-                    x = _candidates(i, later, sig, n, rest, t, limit)
-                    need[x] -= 1
-                    a.append(np.full(len(x), doc[i]))
-                    b.append(doc[x])
-                    held += len(x)
-            else:
-                for i in range(len(doc) - 1):
-                    later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-                    x = _candidates(i, later, sig, n, rest, t, limit) if len(later) else later
-                    a.append(np.full(len(x), doc[i]))
-                    b.append(doc[x])
-                    held += len(x)
-            if held > 50_000:
-                yield _pairs_rows(a, b)
-                a, b, held = [], [], 0
-        yield _pairs_rows(a, b)
+        now, doc, sets = None, [], []
+        for b in batches:
+            for key, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if key != now:
+                    if doc:
+                        yield links(doc, sets)
+                    now, doc, sets = key, [], []
+                doc.append(d)
+                sets.append(np.frombuffer(x.as_buffer(), np.uint64))
+        if doc:
+            yield links(doc, sets)
 
     return rows
 
@@ -294,13 +356,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     own = full.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     own = own.select("doc_id", "n", "sig", F.explode("keys").alias("key"))
     post = _dealt(own.select("key", "doc_id", "n", "sig"))
-    found = staged(post.mapInArrow(_short_lists(t, percent), "a long, b long").distinct())
-    pairs, hot = found.filter("a <> b"), found.filter("a = b").select(F.col("a").alias("doc_id"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot).distinct()
+    found = staged(post.mapInArrow(_posting_lists(t, percent), _FOUND).distinct())
+    pairs, far = found.filter("NOT long").select("a", "b"), found.filter("long").select("a", "b")
+    ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = staged(_sets(docs, ids, n))
-    links = staged(_confirmed(pairs, sets, percent))
-    if not hot.isEmpty():
-        links = links.union(_hot_links(own, hot, sets, links, t, percent))
+    links = _confirmed(pairs, sets, percent)
+    if not far.isEmpty():
+        links = links.union(_group_links(components(far), sets, percent))
+    links = staged(links)
     edges = same.union(links)
     labels = components(edges)
     out = got.select("doc_id", "n").join(labels, "doc_id", "left").select(
@@ -312,33 +375,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _hot_links(own: DataFrame, hot: DataFrame, sets: DataFrame, links: DataFrame, t: int, percent: int) -> DataFrame:
-    """Confirmed links, enough to connect what is connected, among the members of long lists."""
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents whose id is the least of their component; of rows that repeat a doc_id all stay or go. Columns as they were."""
+    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
-    def explode(batches):
-        for b in batches:
-            data, off = utf8(b.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), np.diff(off) // 8), pa.int64()), pa.array(np.frombuffer(data, np.int64))], ["doc_id", "s"]
-            )
-
-    each = sets.join(hot, "doc_id", "left_semi").mapInArrow(explode, "doc_id long, s long")
-    lone = each.groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
-    sizes = own.select("doc_id", "n").distinct().join(hot, "doc_id", "left_semi")
-    rest = sizes.join(lone, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("rest"), "n")
-    rest = staged(rest.filter(f"100 * rest >= {percent} * n").drop("n"))
-
-    def lists(labels: DataFrame | None) -> DataFrame:
-        rows = own.join(rest, "doc_id")
-        if labels is None:
-            return _dealt(rows.select("key", "doc_id", "n", "sig", "rest", F.col("doc_id").alias("label")))
-        return _dealt(rows.join(labels, "doc_id", "left").select("key", "doc_id", "n", "sig", "rest", F.coalesce("label", "doc_id").alias("label")))
-
-    one = staged(lists(None).mapInArrow(_long_lists(t, percent, True), "a long, b long").distinct())
-    linked = staged(_confirmed(one, sets, percent))
-    labels = components(linked.union(links))
-    two = lists(labels).mapInArrow(_long_lists(t, percent, False), "a long, b long").distinct().join(one, ["a", "b"], "left_anti")
-    return linked.union(staged(_confirmed(two, sets, percent)))
+
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links, enough to connect what is connected, within candidate groups (doc_id, label)."""
+    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a member goes to the tasks of its block with each other block
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))  # its own block alone only if there is no other
+    dealt = dealt.select("doc_id", "label", "blocks", "own", other.alias("other")).filter("blocks = 1 OR own <> other").select(
+        "doc_id",
+        F.when(F.col("blocks") == 1, F.xxhash64("label")).otherwise(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
+    )
+    rows = dealt.join(sets, "doc_id").select("key", "doc_id", "shingles")
+    return _dealt(rows).mapInArrow(_blocks(percent), "a long, b long")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
