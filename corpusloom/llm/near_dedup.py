@@ -34,8 +34,8 @@ from corpusloom.session import table
 
 #: Coordinates; standard deviations below the mean that still count; classes in a short list; members of a block.
 K, SIGMAS, SHORT, GROUP = 64, 4.6, 16, 512
-#: Columns of an incidence matrix held at once.
-WIDTH = 4096
+#: Columns of an incidence matrix held at once; ids (8 bytes each) that may be broadcast.
+WIDTH, MOST_SENT = 4096, 2_000_000
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(1, 1 << 62, 128, dtype=np.uint64)
 
@@ -302,7 +302,9 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 sets, so = shingle_sets(data[off[a] : off[z]], off[a : z + 1] - off[a], n)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([sets[x:y].tobytes() for x, y in zip(so[:-1], so[1:])], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles binary")
+    # so that the texts stay where they are while the ids are few; beyond the bound both sides are dealt by id
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
@@ -358,7 +360,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     post = _dealt(own.select("key", "doc_id", "n", "sig"))
     found = staged(post.mapInArrow(_posting_lists(t, percent), _FOUND).distinct())
     pairs, far = found.filter("NOT long").select("a", "b"), found.filter("long").select("a", "b")
-    ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = staged(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = staged(_sets(docs, ids, n))
     links = _confirmed(pairs, sets, percent)
     if not far.isEmpty():
