@@ -320,7 +320,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The rows with n_tokens, ids, and exact: whether the ids decode to the text's bytes. A null text is empty."""
+    """The rows with n_tokens, ids, and exact (whether the ids decode to the text's bytes), which take the place of columns of these names. A null text is empty."""
+    docs = docs.drop("n_tokens", "ids", "exact")
     names = docs.columns
 
     def rows(batches):

@@ -82,12 +82,13 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> DataFrame:
     """Adds next_<column> of the row that follows in ascending doc_id; the first row follows the last.
 
-    `prepare` adds columns to rows once they are picked; so nothing is computed for rows that only bound a range.
+    Of docs only doc_id and text are used; `prepare` adds other columns to the rows once they are picked.
 
     Rows are dealt by ranges of doc_id: quantiles, each cut into equal parts, so that any number of ids spreads. The first row
     of each range is also put at the end of the range before it; so ranges need nothing from one another. What
     the driver gets is the quantiles and one number for each range.
     """
+    docs = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()["q"]
     cuts = sorted(set(cuts or [0]))

@@ -141,7 +141,8 @@ def train(labelled: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The `keep` columns with lang_pred and score; `keep` must not have columns of these names."""
+    """The `keep` columns with lang_pred and score, which take the place of columns of these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     if model is None:
         return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -210,8 +210,9 @@ def line_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
 
 
 def with_bitmaps(docs: DataFrame, **kw) -> DataFrame:
+    """(doc_id, text, keep) of docs."""
     key = F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("doc_key")
-    return docs.select("*", key).join(line_bitmaps(docs, **kw), "doc_key", "left").drop("doc_key")
+    return docs.select("doc_id", "text", key).join(line_bitmaps(docs, **kw), "doc_key", "left").select("doc_id", "text", "keep")
 
 
 def _apply(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
@@ -221,17 +222,17 @@ def _apply(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
 
 
 def dedup_lines(docs: DataFrame, **kw) -> DataFrame:
-    """The documents without their dropped lines; other columns as they were. n_chars, if there, is counted anew."""
+    """The documents without their dropped lines; other columns as they were. n_chars, if there, is counted anew where lines went."""
     src = docs.select("doc_id", "text")
-    out = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("_key")).join(line_bitmaps(src, **kw).select(F.col("doc_key").alias("_key"), F.col("keep").alias("_keep")), "_key", "left")
+    out = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("__line_key")).join(line_bitmaps(src, **kw).select(F.col("doc_key").alias("__line_key"), F.col("keep").alias("__line_keep")), "__line_key", "left")
 
     @F.pandas_udf("string")
     def cut(text, keep):
         return text.where(keep.isna(), [_apply(t, k)[2] if k is not None else t for t, k in zip(text, keep)])
 
-    out = out.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(cut("text", "_keep")))
+    out = out.withColumn("text", F.when(F.col("__line_keep").isNull(), F.col("text")).otherwise(cut("text", "__line_keep")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__line_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

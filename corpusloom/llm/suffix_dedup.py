@@ -263,8 +263,8 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """The rows of docs with `spans`, null where nothing repeats. Rows are told apart by doc_id and a hash of the text."""
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.hash(F.coalesce("text", F.lit(""))).alias("_row"))
+    """(doc_id, text, spans) of docs, spans null where nothing repeats. Rows are told apart by doc_id and a hash of the text."""
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.hash(F.coalesce("text", F.lit(""))).alias("_row"))
     spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), "text"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans")
     return keyed.join(spans, ["_id", "_row"], "left").drop("_id", "_row")
