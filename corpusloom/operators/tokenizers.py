@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a merge table that the driver may hold; public ones have up to about 500,000.
+IN_MEMORY = 1_000_000
+
+
 def load_json(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -47,9 +51,24 @@ def producers(merges: DataFrame, which: str = "all") -> DataFrame:
 
 
 def closure(keep: DataFrame, merges: DataFrame, which: str = "all") -> DataFrame:
-    """keep(token) with all inputs of the merges that make kept tokens, over and over. One join and one anti-join a level."""
+    """keep(token) with all inputs of the merges that make kept tokens, over and over.
+
+    A merge table of up to `IN_MEMORY` rows is followed on the driver; a larger one by one join and one anti-join a level.
+    """
     from corpusloom.sources.checkpoints import checkpointed
 
+    if merges.limit(IN_MEMORY + 1).count() <= IN_MEMORY:
+        made: dict[str, list[str]] = {}
+        for r in producers(merges, which).select("product", "left", "right").collect():
+            made.setdefault(r["product"], []).extend((r["left"], r["right"]))
+        found = {r["token"] for r in keep.select("token").distinct().toLocalIterator()}
+        stack = list(found)
+        while stack:
+            for part in made.get(stack.pop(), ()):
+                if part not in found:
+                    found.add(part)
+                    stack.append(part)
+        return keep.sparkSession.createDataFrame([(t,) for t in sorted(found)], "token string")
     parts = producers(merges, which).select(F.col("product").alias("token"), F.explode(F.array("left", "right")).alias("part")).distinct()
     seen = frontier = checkpointed(keep.select("token").distinct())
     while True:
@@ -166,15 +185,13 @@ def encode_word(word: tuple[str, ...], ranks: dict[tuple[str, str], int]) -> lis
 
 def encode_types(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """types(w, …) with `tokens`: word types are encoded once each, in Arrow batches."""
-    import pandas as pd
-
     ranks: dict[tuple[str, str], int] = {}
     for i, m in enumerate(merges):
         ranks.setdefault(m, i)
     sent = types.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("array<string>")
-    def tokens(w: pd.Series) -> pd.Series:
+    def tokens(w):
         return w.map(lambda x: encode_word(tuple(x), sent.value))
 
     return types.withColumn("tokens", tokens("w"))

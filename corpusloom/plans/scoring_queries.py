@@ -1 +1,130 @@
-"""Queries."""
+"""Windows, bits per byte, threshold sweeps, generation, providers and file round trips."""
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import length_ratio
+from corpusloom.operators import scoring, splits, words
+from corpusloom.plans.catalog import register
+from corpusloom.plans.common import HELD, SPLIT, TRAIN
+from corpusloom.session import table
+
+IDS = "SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w)) AS ids FROM documents"
+
+
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def ids(spark, d):
+    """Stand-in ids: word lengths."""
+    return docs(spark, d).select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w)).alias("ids"))
+
+
+@register(
+    "window_slices",
+    f"""WITH i AS ({IDS}), w AS (SELECT doc_id, s // 511 AS win, ids[s + 1:s + 512] AS ids FROM (SELECT doc_id, ids, unnest(range(0, len(ids) - 1, 511)) AS s FROM i WHERE len(ids) >= 2))
+SELECT doc_id, win::INT AS win, len(ids) AS size, list_sum(ids)::BIGINT AS total FROM w""",
+)
+def window_slices(spark, d):
+    w = ids(spark, d).select("doc_id", F.posexplode(scoring.windows(F.col("ids"))).alias("win", "ids"))
+    return w.select("doc_id", "win", F.size("ids").cast("long").alias("size"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@register("window_targets", f"SELECT doc_id, len(ids) - 1 AS targets FROM ({IDS}) WHERE len(ids) >= 2")
+def window_targets(spark, d):
+    """Every id but the first is scored exactly once, by a scorer that runs over windows."""
+    w = ids(spark, d).select("doc_id", F.posexplode(scoring.windows(F.col("ids"))).alias("win", "ids"))
+    s = scoring.score_windows(w, lambda batch: [0.0 for _ in batch])
+    return s.groupBy("doc_id").agg(F.sum("targets").alias("targets"))
+
+
+BITS = f"""WITH s AS ({SPLIT}), t AS (SELECT split, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM s),
+tr AS (SELECT w, count(*) AS n FROM t WHERE split = 'train' GROUP BY w), he AS (SELECT w, count(*) AS n FROM t WHERE split = 'held' GROUP BY w),
+bytes AS (SELECT sum(b) AS b FROM s WHERE split = 'held')"""
+
+
+def split_counts(spark, d):
+    s = splits.budget_split(docs(spark, d).select("doc_id", "text", F.octet_length("text").cast("long").alias("b")), "doc_id", "b", HELD, TRAIN)
+    c = words.exploded(s.filter("split <> 'dropped'"), words.LETTERS, "split").groupBy("split", "w").agg(F.count("*").alias("n"))
+    size = s.filter("split = 'held'").agg(F.sum("b")).first()[0]
+    return c.filter("split = 'train'").select("w", "n"), c.filter("split = 'held'").select("w", "n"), size
+
+
+@register(
+    "bits_per_byte_unigram",
+    BITS
+    + """, k AS (SELECT sum(n) + count(*) + 1 AS room FROM tr) SELECT sum(he.n)::BIGINT AS tokens, round(sum(-he.n * ln((coalesce(tr.n, 0) + 1) / room)) / ln(2) / max(b), 5) AS bits_per_byte FROM he LEFT JOIN tr USING (w), k, bytes""",
+)
+def bits_per_byte_unigram(spark, d):
+    train, held, size = split_counts(spark, d)
+    return scoring.unigram_nll(train, held).select("tokens", F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte"))
+
+
+@register(
+    "bits_per_byte_pruned",
+    BITS
+    + """, tp AS (SELECT * FROM tr WHERE n >= 20), hp AS (SELECT * FROM he WHERE w IN (SELECT w FROM tp)), k AS (SELECT sum(n) AS total FROM tp)
+SELECT sum(hp.n)::BIGINT AS tokens, round(sum(-hp.n * ln(tp.n / total)) / ln(2) / max(b), 5) AS bits_per_byte FROM hp JOIN tp USING (w), k, bytes""",
+)
+def bits_per_byte_pruned(spark, d):
+    """The softmax restricted to words that occur 20 times in train."""
+    train, held, size = split_counts(spark, d)
+    p = scoring.restricted(train, train.filter("n >= 20"))
+    out = held.join(p, "w").agg(F.sum("n").alias("tokens"), F.sum(-F.col("n") * F.ln("p")).alias("nll"))
+    return out.select("tokens", F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte"))
+
+
+@register(
+    "threshold_sweep",
+    BITS
+    + """, m AS (SELECT * FROM (VALUES (1), (5), (20), (100), (500)) v(m)), c AS (SELECT w, tr.n AS c, he.n AS h FROM tr FULL JOIN he USING (w)),
+r AS (SELECT m, count(*) FILTER (coalesce(c, 0) >= m) AS vocab, sum(h) FILTER (coalesce(c, 0) >= m) AS covered, sum(h) AS total FROM c, m GROUP BY m)
+SELECT m, vocab, round(covered / total, 6) AS held_covered FROM r""",
+)
+def threshold_sweep(spark, d):
+    train, held, _ = split_counts(spark, d)
+    both = train.withColumnRenamed("n", "c").join(held.withColumnRenamed("n", "h"), "w", "full").withColumn("m", F.explode(F.array(*map(F.lit, (1, 5, 20, 100, 500)))))
+    kept = F.coalesce("c", F.lit(0)) >= F.col("m")
+    covered = F.sum(F.when(kept, F.coalesce("h", F.lit(0))).otherwise(0))
+    return both.groupBy("m").agg(F.count_if(kept).alias("vocab"), F.round(covered / F.sum("h"), 6).alias("held_covered"))
+
+
+@register("length_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text), 6) AS ratio FROM documents WHERE length(text) > 0")
+def text_length_ratio(spark, d):
+    return docs(spark, d).filter(F.length("text") > 0).select("doc_id", F.round(length_ratio(F.regexp_replace("text", "[aeiou]", ""), F.col("text")), 6).alias("ratio"))
+
+
+@register(
+    "token_bigrams",
+    """WITH x AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS t FROM documents), p AS (SELECT unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM x WHERE len(t) > 1)
+SELECT a, b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5""",
+)
+def token_bigrams(spark, d):
+    t = docs(spark, d).select(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("t"))
+    return scoring.bigrams(t, "t").filter("n >= 5")
+
+
+@register("greedy_generation")
+def greedy_generation(spark, d):
+    t = docs(spark, d).select(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("t"))
+    said = scoring.greedy(scoring.bigrams(t, "t"), "the", 16)
+    return spark.createDataFrame(list(enumerate(said)), "pos int, token string")
+
+
+@register("provider_rewrite")
+def provider_rewrite(spark, d):
+    """Rewrites of conversation turns by the offline provider, checked and asked again inside the partitions."""
+    from corpusloom.sources.providers import offline_provider, rewrite
+
+    c = table(spark, d, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
+    listed = words.closed_list(docs(spark, d), 300)
+    return rewrite(c, offline_provider(listed), listed, [], "Use listed words only.")
+
+
+@register("json_round_trip", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def json_round_trip(spark, d):
+    """Rows through JSON strings with an explicit schema and back."""
+    c = table(spark, d, "conversations")
+    j = c.select(F.to_json(F.struct(*c.columns)).alias("j"))
+    r = j.select(F.from_json("j", c.schema).alias("r")).select("r.*")
+    return r.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
