@@ -133,3 +133,18 @@ def test_labels_and_maps(spark):
     m = spark.createDataFrame([("Vienna => Big Town\nx => -\ny => z",)], "t string")
     asked = spark.createDataFrame([("Vienna",), ("x",)], "word string")
     assert {tuple(r) for r in rules.parse_map(m, "t", asked).collect()} == {("Vienna", "big town"), ("x", "")}
+
+
+def test_pruning_a_public_tokenizer(spark):
+    """At threshold 1 the train split is cut as before, and everything decodes to itself; without the closure it is not."""
+    public = pytest.importorskip("public_tokenizers")
+    from corpusloom.operators import encodings
+
+    tok = tokenizers.load_json(public.path("byte_bpe_50k.json"))
+    rows = [("train", "The quick brown fox jumps over the lazy dog, again and again."), ("held", "Étranges zebras quantify 12 things!")]
+    df = spark.createDataFrame(rows, "split string, text string")
+    got = {r["split"]: r for r in encodings.sweep(df, tok, [1]).collect()}
+    assert got["train"]["identical"] == 1.0 and got["train"]["exact"] and got["held"]["exact"] and got["held"]["length_ratio"] >= 1
+    used = [r["token_id"] for r in encodings.json_usage(df.filter("split = 'train'"), tok).collect()]
+    bare = encodings.compare(df, tok, encodings.pruned(spark, tok, used, close=False), "split").filter("split = 'train'").first()
+    assert not bare["same"]
