@@ -64,3 +64,14 @@ def param_accounting(spark, d):
     v = rows(spark, d)
     r = v.agg(F.count("*").alias("had"), F.count_if(F.col("id") % 3 == 0).alias("kept")).first()
     return spark.createDataFrame([(r["had"] * DIM, vectors.pruned_params(r["had"] * DIM, DIM, r["had"], r["kept"]))], "params long, pruned long")
+
+
+@register("embedding_finetune")
+def embedding_finetune(spark, d):
+    """Letter vectors fitted to the letters' neighbours in words: the mean loss before each step."""
+    from corpusloom.operators import words
+
+    p = words.pairs_in_words(words.counts(table(spark, d, "documents"))).filter("a RLIKE '^[a-z]$' AND b RLIKE '^[a-z]$'")
+    p = p.select((F.ascii("a") - 97).alias("a"), (F.ascii("b") - 97).alias("b"), "n")
+    _, losses = vectors.finetune(p, rows(spark, d).filter("id < 26"), 10, 0.05)
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")

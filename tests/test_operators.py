@@ -148,3 +148,12 @@ def test_pruning_a_public_tokenizer(spark):
     used = [r["token_id"] for r in encodings.json_usage(df.filter("split = 'train'"), tok).collect()]
     bare = encodings.compare(df, tok, encodings.pruned(spark, tok, used, close=False), "split").filter("split = 'train'").first()
     assert not bare["same"]
+
+
+def test_finetune(spark):
+    pairs = spark.createDataFrame([(0, 1, 50), (1, 2, 50), (2, 0, 50), (9, 9, 5)], "a int, b int, n long")
+    v = spark.createDataFrame([(i, [float((i + k) % 3) / 3 for k in range(4)]) for i in range(3)], "id int, embedding array<float>")
+    new, losses = vectors.finetune(pairs, v, 15, 0.1)
+    assert losses[-1] < losses[0] and new.count() == 3
+    bad = spark.createDataFrame([(i, [float("inf")] * 2) for i in range(3)], "id int, embedding array<float>")
+    assert [r["embedding"] for r in vectors.finetune(pairs, bad, 2)[0].collect()] == [[float("inf")] * 2] * 3
