@@ -28,7 +28,7 @@ def test_rows(spark, sf, name):
 
 def test_pipeline(spark, sf):
     """Stage by stage: what goes, by plain Python."""
-    from test_ops import brute_lines, brute_near
+    from test_llm_ops import brute_lines, brute_near
 
     import corpus_pipeline as p
     import public_tokenizers
