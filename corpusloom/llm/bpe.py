@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.common import Rolling
 from corpusloom.session import table
 
+#: Rows whose tokens are held at once where they are returned.
+ROWS = 1024
 #: Pieces of more bytes are encoded alone; pieces kept by a Python worker between batches; code points taken at once.
 ALONE, CACHE, AT_ONCE = 48, 500_000, 1 << 22
 
@@ -326,7 +328,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def rows(batches):
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             text = b.column(names.index("text")).to_pylist()
             coded = enc.encode(text)
             exact = [decode(enc.ranks, x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(coded, text)]

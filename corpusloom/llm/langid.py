@@ -25,6 +25,8 @@ from corpusloom.session import table
 #: Log2 of the buckets; orders of the n-grams; added count; bound on sampled training rows; bound on languages.
 BITS, ORDERS, ALPHA, MOST_ROWS, MOST_LANGS = 16, (1, 2, 3), 0.5, 60_000, 256
 UND = "und"
+#: Rows whose texts are Python strings at once.
+ROWS = 1024
 
 
 @lru_cache(1)
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def rows(batches):
         m = sent.value
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             names, probs = m.score([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(names, pa.string()), pa.array(probs, pa.float64())], [*keep, "lang_pred", "score"])
 

@@ -32,6 +32,8 @@ from corpusloom.session import table
 STRIP = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 _NONE = -(1 << 63)
+#: Rows whose texts are Python strings at once.
+ROWS = 512
 
 
 def _long_keys(text: str | None, least: int) -> dict[bytes, list[int]]:
@@ -48,7 +50,7 @@ def _long_keys(text: str | None, least: int) -> dict[bytes, list[int]]:
 
 def _line_rows(least: int):
     def rows(batches):
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             h1, h2, ids, pos = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for h, p in _long_keys(t, least).items():
@@ -221,23 +223,36 @@ def _apply(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(left), "\n".join(left)
 
 
-def dedup_lines(docs: DataFrame, **kw) -> DataFrame:
-    """The documents without their dropped lines; other columns as they were. n_chars, if there, is counted anew where lines went."""
-    src = docs.select("doc_id", "text")
-    out = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("__line_key")).join(line_bitmaps(src, **kw).select(F.col("doc_key").alias("__line_key"), F.col("keep").alias("__line_keep")), "__line_key", "left")
+def _cut(names: list[str]):
+    """Columns and the bitmap (last) to the columns without the dropped lines; a few rows' texts at a time."""
+    text = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
+
+    def rows(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                b = whole.slice(a, ROWS)
+                cols = b.columns[:-1]
+                keep = b.columns[-1]
+                if keep.null_count < len(keep):
+                    new = [t if k is None else _apply(t, k)[2] for t, k in zip(cols[text].to_pylist(), keep.to_pylist())]
+                    if count is not None:
+                        cols[count] = pa.array([n if k is None else len(t) for n, k, t in zip(cols[count].to_pylist(), keep.to_pylist(), new)], cols[count].type)
+                    cols[text] = pa.array(new, cols[text].type)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    @F.pandas_udf("string")
-    def cut(text, keep):
-        return text.where(keep.isna(), [_apply(t, k)[2] if k is not None else t for t, k in zip(text, keep)])
+    return rows
 
-    out = out.withColumn("text", F.when(F.col("__line_keep").isNull(), F.col("text")).otherwise(cut("text", "__line_keep")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__line_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+
+def dedup_lines(docs: DataFrame, **kw) -> DataFrame:
+    """The documents without their dropped lines; other columns as they were. n_chars, if there, is counted anew where lines went."""
+    maps = line_bitmaps(docs.select("doc_id", "text"), **kw).select(F.col("doc_key").alias("__line_key"), F.col("keep").alias("__line_keep"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("__line_key"))
+    return keyed.join(maps, "__line_key", "left").select(*docs.columns, "__line_keep").mapInArrow(_cut(docs.columns), docs.schema)
 
 
 def _digest(batches):
-    for b in batches:
+    for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
         n, gone, sha = [], [], []
         for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             x, y, s = _apply(t, k)
