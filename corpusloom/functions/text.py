@@ -190,5 +190,9 @@ def chunk_number(cid: Column) -> Column:
     return F.substring_index(cid, "_", -1).cast("int")
 
 
+def article_url(article: Column, base: str = "https://en.wikipedia.org/?curid=") -> Column:
+    return F.concat(F.lit(base), article.cast("string"))
+
+
 def length_ratio(new: Column, old: Column) -> Column:
     return F.length(new) / F.nullif(F.length(old), F.lit(0))

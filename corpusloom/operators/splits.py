@@ -48,8 +48,8 @@ def with_default(df: DataFrame, labels: DataFrame, key: str, label: str, order:
     return df.join(last, key, "left").withColumn(label, F.coalesce(label, F.lit(default)))
 
 
-def batches(df: DataFrame, key: str, size: int, out: str = "batch") -> DataFrame:
-    """Numbers rows in batches of `size` within 256 hash groups of the key; no global order."""
-    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(256))).orderBy(key)
-    n = F.row_number().over(w) - 1
-    return df.withColumn(out, F.concat_ws("-", F.pmod(F.xxhash64(key), F.lit(256)), F.floor(n / size)))
+def batches(df: DataFrame, key: str, size: int, out: str = "batch", seed: int = 0) -> DataFrame:
+    """Numbers rows in batches of `size` within 256 groups of the seeded order; no global order."""
+    group = F.substring(seeded(F.col(key), seed), 1, 2)
+    n = F.row_number().over(Window.partitionBy(group).orderBy(seeded(F.col(key), seed), key)) - 1
+    return df.withColumn(out, F.concat_ws("-", group, F.floor(n / size).cast("string")))

@@ -136,3 +136,23 @@ def english_probe(spark, d):
 @register("resume_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def resume_anti_join(spark, d):
     return splits.remaining(docs(spark, d).select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@register(
+    "work_batches",
+    f"SELECT doc_id, substr(o, 1, 2) || '-' || ((row_number() OVER (PARTITION BY substr(o, 1, 2) ORDER BY o, doc_id) - 1) // 3) AS batch FROM ({ORDERED})",
+)
+def work_batches(spark, d):
+    return splits.batches(docs(spark, d).select("doc_id"), "doc_id", 3)
+
+
+@register("article_meta", "SELECT doc_id || '_0' AS chunk_id, 'https://en.wikipedia.org/?curid=' || doc_id AS url, 0 AS k FROM documents")
+def article_meta(spark, d):
+    cid = tx.chunk_id(F.col("doc_id"), F.lit(0))
+    return docs(spark, d).select(cid.alias("chunk_id"), tx.article_url(F.col("doc_id")).alias("url"), tx.chunk_number(cid).alias("k"))
+
+
+@register("train_pilot", f"SELECT doc_id FROM ({SPLIT}) WHERE split = 'train' ORDER BY o, doc_id LIMIT 20")
+def train_pilot(spark, d):
+    """A seeded sample of the train split for looking at by eye."""
+    return splits.seeded_sample(split(spark, d).filter("split = 'train'").select("doc_id"), "doc_id", 20)

@@ -73,3 +73,13 @@ def test_resume_stream(spark, tmp_path):
     spark.createDataFrame([("2", "b", "t"), ("3", "c", "t")], files.ARTICLE).coalesce(1).write.mode("append").json(src)
     resume_stream(spark, src, files.ARTICLE, "id", sink, chk)
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
+
+
+def test_reports(tmp_path):
+    from corpusloom.functions.text import system_prompt
+
+    files.write_results({"part": {"bits": 1.25, "é": [1]}}, f"{tmp_path}/r.json")
+    assert '"é"' in (tmp_path / "r.json").read_text()
+    assert files.render("{a} of {b}", {"a": 0.5, "b": 1234}, {"a": ".1%", "b": ","}) == "50.0% of 1,234"
+    assert files.percent(0.1234) == "12.3 %"
+    assert system_prompt("{n} words: {list}", {"n": "2", "list": "a b"}) == "2 words: a b"
