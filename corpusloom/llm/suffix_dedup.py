@@ -5,15 +5,15 @@ stands by content alone: of its `GRAM`-byte grams the one with the least hash (t
 have their anchors at the same place. All that such strings can cover lies in the anchor's context, the bytes from LENGTH - GRAM
 before the anchor to LENGTH after its start.
 
-1. Each document gives its anchors: hash of the gram, hash of the context, place. They meet by the gram's hash. Equal
-   contexts are one class; if there are two of them, all their strings repeat. A gram with several contexts sends one of each class on.
+1. Each document gives its anchors: hash of the gram, hash of the context, place. They meet by the gram's hash (those that
+   repeat within one buffer of documents are settled there and don't). Equal contexts are one class; if there are two of them, all their strings repeat. A gram with several contexts sends one of each class on.
 2. These contexts are cut from the texts and dealt by the gram with half of what must surround it, on either side
    (one of the two is in any string that repeats), so a common gram alone brings nothing together.
 3. Each task builds the collection's Burrows-Wheeler transform and common prefixes column by column: from the right, each round
    inserts one symbol of every context before its suffix, orders the suffixes stably by it, and gets each common prefix
    with the neighbour as one more than the least between the two before. Contexts stand aligned at the anchor, so equal strings are in the same
-   column, and only suffixes of one column are kept. Columns are read one after the other from a temporary file where they are many, and a
-   round's state is its order and prefixes. Neighbours with LENGTH or more in common are repeats.
+   column, and only suffixes of one column are kept. Where they are many, columns are read one after the other from a scratch file of the task
+   (nothing else sees it, and it goes with the task), and a round's state is its order and prefixes. Neighbours with LENGTH or more in common are repeats.
 
 Defined cases: null text counts as empty; matches never cross documents; a document shorter than LENGTH loses nothing; rows that
 repeat a doc_id are texts of their own, and equal rows repeat each other; a null doc_id stays null.
@@ -62,7 +62,7 @@ def anchors(roll: Rolling, off: np.ndarray) -> np.ndarray:
     return got[np.r_[True, got[1:] != got[:-1]]].astype(np.int64) if len(got) else np.zeros(0, np.int64)
 
 
-_ANCHOR = "h long, ctx long, doc_id long, row int, pos int"
+_ANCHOR = "h long, ctx long, doc_id long, row int, pos int, sure boolean"
 
 
 def _anchor_rows(batches):
@@ -77,18 +77,26 @@ def _anchor_rows(batches):
                 continue
             k = np.searchsorted(own, at, "right") - 1
             lo, hi = np.maximum(at - LEFT, own[k]), np.minimum(at + RIGHT, own[k + 1])
-            ctx = roll.of(lo, hi) ^ mix((at - lo).astype(np.uint64))
+            h, ctx = roll.of(at, at + GRAM), roll.of(lo, hi) ^ mix((at - lo).astype(np.uint64))
+            # contexts that repeat within the buffer are settled here: one goes on to meet others, the rest are dealt at random
+            order = np.lexsort((ctx, h))
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])]
+            sure, spare = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            sure[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+            spare[order] = ~new
+            h[spare] = mix(h[spare] ^ mix(at[spare].astype(np.uint64) ^ doc[a + k[spare]].astype(np.uint64)))
             for s in range(0, len(at), 1 << 17):
                 e = slice(s, s + (1 << 17))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(roll.of(at[e], at[e] + GRAM).view(np.int64)),
+                        pa.array(h[e].view(np.int64)),
                         pa.array(ctx[e].view(np.int64)),
                         pa.array(doc[a + k[e]]),
                         pa.array(row[a + k[e]]),
                         pa.array((at[e] - own[k[e]]).astype(np.int32)),
+                        pa.array(sure[e]),
                     ],
-                    ["h", "ctx", "doc_id", "row", "pos"],
+                    ["h", "ctx", "doc_id", "row", "pos", "sure"],
                 )
 
 
@@ -101,7 +109,7 @@ def _mark(t: pa.Table) -> pa.RecordBatch:
     new_h = np.r_[True, h[1:] != h[:-1]]
     new_c = new_h | np.r_[True, ctx[1:] != ctx[:-1]]
     own_c, own_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    sure = np.bincount(own_c)[own_c] > 1
+    sure = (np.bincount(own_c)[own_c] > 1) | t.column("sure").to_numpy(zero_copy_only=False)
     several = np.bincount(own_h[new_c])[own_h] > 1
     a, b = np.flatnonzero(sure), np.flatnonzero(new_c & several)
     rows = t.select(["doc_id", "row", "pos"]).take(pa.array(np.r_[a, b])).combine_chunks()
