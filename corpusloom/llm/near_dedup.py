@@ -1,7 +1,7 @@
 """Near-duplicate documents by a signature-coordinate inverted join, links confirmed on full shingle sets.
 
 Every document has K MinHash coordinates. A pair whose resemblance is at least the limit agrees in at least T of them
-but for a chance of about one in a million (T lies 4.6 standard deviations below the mean). A pair that agrees in
+but for a chance below one in a million (T lies 5.2 standard deviations below the mean). A pair that agrees in
 T of K must share one of the first K - T + 1 (the prefix); so documents are posted under these coordinate-value pairs only,
 and a posting list counts the other collisions from the 1-byte coordinates its rows carry, skipping documents whose
 sizes rule out a link.
@@ -33,7 +33,7 @@ from corpusloom.llm.common import LOWER, Rolling, mix, runs, staged, spread, utf
 from corpusloom.session import table
 
 #: Coordinates; standard deviations below the mean that still count; classes in a short list; members of a block.
-K, SIGMAS, SHORT, GROUP = 64, 4.6, 16, 512
+K, SIGMAS, SHORT, GROUP = 64, 5.2, 16, 512
 #: Columns of an incidence matrix held at once; ids (8 bytes each) that may be broadcast.
 WIDTH, MOST_SENT = 4096, 2_000_000
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
