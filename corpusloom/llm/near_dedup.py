@@ -11,9 +11,11 @@ aggregation. Lists of up to `SHORT` classes give their candidate pairs at once;
 intersected. A longer list (a passage many documents share, a large group of near copies) never gives its pairs. It is cut
 by runs of equal further coordinates, in such a way that every candidate pair shares one, and gives a
 spanning forest of its candidate graph: at most one row for each member. The components of all forests are candidate
-groups. Their members' sets are dealt in blocks of `GROUP` members, each pair of blocks to a task, which counts all
-intersections as products of incidence matrices and gives a spanning forest of the confirmed links. Memory is bounded by
-the block; the work within one candidate group (near copies that all differ) grows with the square of its blocks.
+groups. A group of up to `GROUP` members is one task, which counts all intersections as products of incidence matrices and
+gives a spanning forest of the confirmed links. In a larger one all members are held against a few pivots first; the members outside the
+largest part that this connects are then dealt in blocks, each pair of such blocks and each pair with a block of that part to a
+task. So memory is bounded by the block, and the work is in proportion to the group where its members are close to one another, and grows with the
+square of the members that are not.
 
 Components are found by repeated minimum labels with shortcuts, checkpointed to the shared folder.
 
@@ -34,6 +36,8 @@ from corpusloom.session import table
 
 #: Coordinates; standard deviations below the mean that still count; classes in a short list; members of a block.
 K, SIGMAS, SHORT, GROUP = 64, 5.2, 16, 512
+#: Members of a large group that all others are held against first.
+PIVOTS = 4
 #: Columns of an incidence matrix held at once; ids (8 bytes each) that may be broadcast.
 WIDTH, MOST_SENT = 4096, 2_000_000
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -383,18 +387,56 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> D
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
+def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of the members of candidate groups (doc_id, label) with `PIVOTS` members of their group."""
+    picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("o"), "doc_id")).getField("doc_id").alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = members.groupBy("label").agg(*picks).select("label", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
+    pivots = chosen.join(sets, "doc_id").groupBy("label").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("pivots"))
+
+    def rows(batches):
+        for b in batches:
+            a, z = [], []
+            for d, x, ps in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                for p in ps:
+                    other = np.frombuffer(p["shingles"], np.uint64)
+                    o = len(np.intersect1d(own, other, assume_unique=True)) if p["doc_id"] != d else -1
+                    if 100 * o >= percent * (len(own) + len(other) - o):
+                        a.append(min(d, p["doc_id"]))
+                        z.append(max(d, p["doc_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return members.join(sets, "doc_id").join(pivots, "label").select("doc_id", "shingles", "pivots").mapInArrow(rows, "a long, b long")
+
+
 def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links, enough to connect what is connected, within candidate groups (doc_id, label)."""
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a member goes to the tasks of its block with each other block
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))  # its own block alone only if there is no other
-    dealt = dealt.select("doc_id", "label", "blocks", "own", other.alias("other")).filter("blocks = 1 OR own <> other").select(
-        "doc_id",
-        F.when(F.col("blocks") == 1, F.xxhash64("label")).otherwise(F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
-    )
-    rows = dealt.join(sets, "doc_id").select("key", "doc_id", "shingles")
-    return _dealt(rows).mapInArrow(_blocks(percent), "a long, b long")
+    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
+    sized = groups.join(sizes, "label")
+    keyed = sized.filter(F.col("size") <= GROUP).select("doc_id", F.xxhash64("label").alias("key"))
+    large = staged(sized.filter(F.col("size") > GROUP).select("doc_id", "label"))
+    star = None
+    if not large.isEmpty():
+        star = staged(_star_links(large, sets, percent))
+        parts = large.join(components(star).withColumnRenamed("label", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        main = parts.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+        parts = parts.join(main, "label").select("doc_id", "label", (F.col("part") == F.col("main")).alias("inside"))
+        # the part that the pivots connect is met by the others only; those in blocks of half the size, so that a task has one block of each
+        blocks = parts.groupBy("label").agg(
+            F.ceil(F.count_if(~F.col("inside")) * 2 / GROUP).cast("int").alias("rest"), F.ceil(F.count_if("inside") / GROUP).cast("int").alias("mains")
+        )
+        h = "pmod(xxhash64(doc_id), greatest({}, 1))"
+        inside = f"transform(sequence(0, rest - 1), i -> xxhash64(label, 1, i, cast({h.format('mains')} AS int)))"
+        own = f"cast({h.format('rest')} AS int)"
+        outside = (
+            f"concat(transform(filter(sequence(0, rest - 1), j -> rest = 1 OR j <> {own}), j -> xxhash64(label, 0, least(j, {own}), greatest(j, {own}))), "
+            f"transform(sequence(0, mains - 1), j -> xxhash64(label, 1, {own}, j)))"
+        )
+        met = parts.join(blocks, "label").filter("rest > 0")
+        keyed = keyed.unionByName(met.select("doc_id", F.explode(F.expr(f"CASE WHEN inside THEN {inside} ELSE {outside} END")).alias("key")))
+    rows = keyed.join(sets, "doc_id").select("key", "doc_id", "shingles")
+    links = _dealt(rows).mapInArrow(_blocks(percent), "a long, b long")
+    return links if star is None else links.union(star)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

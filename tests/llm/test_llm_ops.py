@@ -428,7 +428,6 @@ def test_fingerprints(spark):
 
 def test_likeness_follows_resemblance(spark):
     rng = random.Random(2)
-    err = []
     rows, want = [], []
     for i in range(60):
         a = [f"x{rng.randrange(5000)}" for _ in range(rng.choice((30, 200, 900)))]
@@ -477,8 +476,7 @@ def leaks(spark, docs, items, **kw):
 def test_leaks(spark):
     rng = random.Random(3)
     say = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "in", "st", "a", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
-    items = [(i, say(rng.randint(15, 50))) for i in range(40)] + [(90, None), (91, ""), (92, "tiny item qz"), (93, items_ := None)]
-    del items_
+    items = [(i, say(rng.randint(15, 50))) for i in range(40)] + [(90, None), (91, ""), (92, "tiny item qz"), (93, " ")]
     docs, want = [], set()
     for i in range(80):
         k = i % 40
@@ -490,7 +488,7 @@ def test_leaks(spark):
             passage = "".join(b).upper().replace(" ", "\n", 2)
         docs.append((i, f"{say(40)} {passage} {say(40)}"))
         want.add((i, k))
-    docs += [(200 + i, say(120)) for i in range(60)] + [(300, None), (301, ""), (302, f"has a Tiny Item qz inside"), (303, items[0][1]), (303, items[0][1]), (304, say(20_000) + " " + items[1][1])]
+    docs += [(200 + i, say(120)) for i in range(60)] + [(300, None), (301, ""), (302, "has a Tiny Item qz inside"), (303, items[0][1]), (303, items[0][1]), (304, say(20_000) + " " + items[1][1])]
     got = leaks(spark, docs, items)
     assert {p for p in want if p[0] < 40} <= set(got) and len(want & set(got)) >= 0.95 * len(want)
     assert set(got) - want == {(302, 92), (303, 0), (304, 1)} and got[303, 0] == 0
@@ -517,3 +515,25 @@ def test_edit_distance():
     for _ in range(300):
         a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randint(1, n))) for n in (12, 30))
         assert decontaminate.edit_distance(a, b, 99) == plain(a, b)
+
+
+def test_signatures_miss_less_than_one_in_a_million():
+    from math import comb
+
+    for p in (0.8, 0.85):
+        t = near_dedup.least_matches(p)
+        assert sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(t)) < 1e-6
+
+
+def test_near_tight_group(spark):
+    """Members that all link with the pivots leave nothing to compare; two such groups stay apart."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(200)]
+        for i in range(560):
+            t = list(base)
+            t[rng.randrange(200)] = f"n{rng.randrange(40)}"
+            rows.append((10_000 * g + i, " ".join(t)))
+    got = near_dedup.near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert {r["component_id"] for r in got} == {0, 10_000} and sum(r["kept"] for r in got) == 2
