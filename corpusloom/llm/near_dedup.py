@@ -36,8 +36,8 @@ from corpusloom.session import table
 
 #: Coordinates; standard deviations below the mean that still count; classes in a short list; members of a block.
 K, SIGMAS, SHORT, GROUP = 64, 5.2, 16, 512
-#: Members of a large group that all others are held against first.
-PIVOTS = 4
+#: Members of a large group that all others are held against first, and tasks that a large group is dealt to then.
+PIVOTS, SALTS = 4, 16
 #: Columns of an incidence matrix held at once; ids (8 bytes each) that may be broadcast.
 WIDTH, MOST_SENT = 4096, 2_000_000
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -392,6 +392,9 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     picks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("o"), "doc_id")).getField("doc_id").alias(f"p{i}") for i in range(PIVOTS)]
     chosen = members.groupBy("label").agg(*picks).select("label", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
     pivots = chosen.join(sets, "doc_id").groupBy("label").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("pivots"))
+    # a group's members are dealt to SALTS tasks, and its pivots to each of them
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
     def rows(batches):
         for b in batches:
@@ -406,7 +409,7 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         z.append(max(d, p["doc_id"]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    return members.join(sets, "doc_id").join(pivots, "label").select("doc_id", "shingles", "pivots").mapInArrow(rows, "a long, b long")
+    return members.join(sets, "doc_id").join(pivots, ["label", "salt"]).select("doc_id", "shingles", "pivots").mapInArrow(rows, "a long, b long")
 
 
 def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -418,9 +421,11 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     star = None
     if not large.isEmpty():
         star = staged(_star_links(large, sets, percent))
+        # a row of a few numbers for each large group: broadcast while they are few, so that members are not dealt by group
+        few = F.broadcast if large.select("label").distinct().count() <= MOST_SENT // 4 else lambda df: df
         parts = large.join(components(star).withColumnRenamed("label", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
         main = parts.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        parts = parts.join(main, "label").select("doc_id", "label", (F.col("part") == F.col("main")).alias("inside"))
+        parts = parts.join(few(main), "label").select("doc_id", "label", (F.col("part") == F.col("main")).alias("inside"))
         # the part that the pivots connect is met by the others only; those in blocks of half the size, so that a task has one block of each
         blocks = parts.groupBy("label").agg(
             F.ceil(F.count_if(~F.col("inside")) * 2 / GROUP).cast("int").alias("rest"), F.ceil(F.count_if("inside") / GROUP).cast("int").alias("mains")
@@ -432,7 +437,7 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             f"concat(transform(filter(sequence(0, rest - 1), j -> rest = 1 OR j <> {own}), j -> xxhash64(label, 0, least(j, {own}), greatest(j, {own}))), "
             f"transform(sequence(0, mains - 1), j -> xxhash64(label, 1, {own}, j)))"
         )
-        met = parts.join(blocks, "label").filter("rest > 0")
+        met = parts.join(few(blocks), "label").filter("rest > 0")
         keyed = keyed.unionByName(met.select("doc_id", F.explode(F.expr(f"CASE WHEN inside THEN {inside} ELSE {outside} END")).alias("key")))
     rows = keyed.join(sets, "doc_id").select("key", "doc_id", "shingles")
     links = _dealt(rows).mapInArrow(_blocks(percent), "a long, b long")
