@@ -194,7 +194,9 @@ def encode_types(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     def tokens(w):
         return w.map(lambda x: encode_word(tuple(x), sent.value))
 
-    return types.withColumn("tokens", tokens("w"))
+    # the rows are few bytes but much work: dealt by number, so that they are not packed into a few tasks
+    n = max(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), types.sparkSession.sparkContext.defaultParallelism)
+    return types.repartition(n).withColumn("tokens", tokens("w"))
 
 
 def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
