@@ -192,7 +192,8 @@ def encode_types(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def tokens(w):
-        return w.map(lambda x: encode_word(tuple(x), sent.value))
+        own = sent.value
+        return w.map(lambda x: encode_word(tuple(x), own))
 
     # the rows are few bytes but much work: dealt by number, so that they are not packed into a few tasks
     n = max(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), types.sparkSession.sparkContext.defaultParallelism)
