@@ -1,12 +1,15 @@
 """Benchmark decontamination: passages of documents within a share of edits of a benchmark item.
 
 Texts are compared as UTF-8 bytes with A-Z lower-cased and ASCII white space as a space. An item-sized window of a
-document is tied to an item at an anchor: a word start whose 3-byte prefix has one of the lowest hashes of the item. From the anchor both
+document is tied to an item at an anchor: one of `ANCHORS` word starts spread over the item; every word start of a document is
+looked at, so an item's anchors, and its recall, do not depend on the other items. From the anchor both
 sides take the same CGK walk (at each step a random bit, which depends on the step and the byte read, says whether to
 move on), which turns few edits into few differing steps. A repetition samples `SAMPLES` steps of one walk; windows
 and items that agree in all of them are candidates. Samples are looked up four first, so that nearly all windows
 leave after a dozen steps. Anchors times repetitions bring recall to its target (0.9 at one edit in ten bytes; tests measure it);
-an exact copy agrees in every walk, so it is always found. Candidates are confirmed by edit distance (Myers' bit vectors, free ends).
+an exact copy agrees in every walk, so it is always found. An item with fewer word starts (a short one, or one without spaces) is
+anchored at every byte instead: wherever `GRAM` bytes of a document are `GRAM` bytes of it. With one edit in ten bytes or fewer, at least
+one such run of it is left whole. Candidates are confirmed by edit distance (Myers' bit vectors, free ends).
 
 The benchmark is collected only in blocks of at most `BLOCK` bytes, one pass over the documents for each block.
 
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, SPACE, runs, utf8, words
 from corpusloom.session import table
 
-#: Most edits as a share of an item's bytes; anchors of an item, at most and at least; repetitions; bytes of items in a block.
-EDITS, ANCHORS, LEAST_ANCHORS, REPEATS, BLOCK = 0.2, 8, 2, 3, 8 << 20
+#: Most edits as a share of an item's bytes; anchors of an item; repetitions; bytes of items in a block.
+EDITS, ANCHORS, REPEATS, BLOCK = 0.2, 8, 3, 8 << 20
+#: Bytes of an anchor at any position; bytes of an item whose candidates are all confirmed at once; candidates held at once.
+GRAM, WORD, HELD = 8, 64, 1 << 18
 #: Ranges of steps that one sample each is drawn from.
 RANGES = ((0, 2), (2, 5), (5, 8), (8, 12), (12, 16), (16, 21), (21, 26), (26, 32))
 SAMPLES, STEPS = len(RANGES), RANGES[-1][1]
@@ -43,11 +48,13 @@ def _walks(repeats: int) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.array([[rng.integers(a, b) for a, b in RANGES] for _ in range(repeats)])
 
 
-def _prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the three bytes at each position (data has three more bytes at its end)."""
-    p = data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << np.uint32(8) | data[at + 2].astype(np.uint32) << np.uint32(16)
-    with np.errstate(over="ignore"):
-        return p * np.uint32(0x9E3779B1)
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The `GRAM` bytes at each position, as a number."""
+    out = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+    raw = np.ascontiguousarray(data)
+    for i in range(min(GRAM, len(out))):
+        out[i::GRAM] = np.frombuffer(raw, "<u8", (len(raw) - i) // GRAM, i)
+    return out
 
 
 class Items:
@@ -58,27 +65,25 @@ class Items:
         self.bytes = [PLAIN[np.frombuffer((r[1] or "").encode("utf-8", "surrogatepass"), np.uint8)].tobytes().strip() for r in rows]
         self.most = [int(len(b) * edits) for b in self.bytes]
         self.bits, self.steps = _walks(repeats)
-        self.plain, picked = [], []
+        self.plain, picked, sparse = [], [], []
         for k, b in enumerate(self.bytes):
             if not b:
                 continue
-            d = np.frombuffer(b + b"\0\0\0", np.uint8)
-            start, _, _ = words(d[:-3], np.array([0, len(b)]))
+            if len(b) < STEPS:
+                self.plain.append(k)
+                continue
+            start, _, _ = words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
             start = start[start <= len(b) - STEPS]
-            if len(start):
-                h = _prefix(d, start)
-                best = np.argsort(h, kind="stable")[:anchors]
-                picked.append((k, start[best], h[best]))
+            if len(start) >= anchors:
+                picked.append((k, start[np.linspace(0, len(start) - 1, anchors).astype(np.int64)]))
             else:
-                self.plain.append(k)
-        # as low as it can be with LEAST_ANCHORS for every item
-        self.below = max((int(h[: LEAST_ANCHORS][-1]) for _, _, h in picked), default=0)
-        own = [k for k, _, h in picked for x in h if x <= self.below]
-        offset = [x for _, at, h in picked for x in at[h <= self.below].tolist()]
-        self.own, self.offset = np.array(own, np.int64), np.array(offset, np.int64)
+                sparse.append((k, np.arange(len(b) - (GRAM if len(b) <= WORD else STEPS) + 1)))
+        self.own, self.offset = self._anchors(picked)
         flat = np.frombuffer(b"".join(self.bytes) + bytes(LONG), np.uint8)
-        begin = np.r_[0, np.cumsum([len(b) for b in self.bytes])][:-1]
-        at = begin[self.own] + self.offset if own else np.zeros(0, np.int64)
+        begin = np.r_[0, np.cumsum([len(b) for b in self.bytes])][:-1].astype(np.int64)
+        self.flat, self.begin, self.size = flat, begin, np.array([len(b) for b in self.bytes], np.int64)
+        at = begin[self.own] + self.offset
+        self._table(flat, sparse)
         self.first, self.tables, self.walks = [], [], []
         for r in range(repeats):
             code = self._code(flat, at, r, 0, SAMPLES)
@@ -87,14 +92,32 @@ class Items:
             order = np.argsort(code, kind="stable")
             self.first.append(seen)
             walk, stood = self._walk(flat, at, r)
-            left = np.array([len(self.bytes[k]) for k in self.own], np.int64) - self.offset
+            left = self.size[self.own] - self.offset
             self.walks.append((walk, stood < left[:, None]))
             self.tables.append((code[order], order))
 
     @staticmethod
-    def _slot(code: np.ndarray) -> np.ndarray:
+    def _anchors(picked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        own = np.repeat(np.array([k for k, _ in picked], np.int64), [len(at) for _, at in picked])
+        return own, np.concatenate([np.zeros(0, np.int64), *(at for _, at in picked)])
+
+    def _table(self, flat: np.ndarray, sparse: list[tuple[int, np.ndarray]]) -> None:
+        """The grams of items that are anchored at every byte, sorted, with their items and offsets."""
+        own, offset = self._anchors(sparse)
+        pos = self.begin[own] + offset
+        gram = np.zeros(len(pos), np.uint64)
+        for i in range(GRAM):
+            gram |= flat[pos + i].astype(np.uint64) << np.uint64(8 * i)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.gram_own, self.gram_offset = gram[order], own[order].astype(np.int32), offset[order].astype(np.int32)
+        self.gram_bits = max(20, int(8 * len(gram)).bit_length())
+        self.gram_seen = np.zeros(1 << self.gram_bits if len(gram) else 0, bool)
+        self.gram_seen[self._slot(gram, self.gram_bits)] = True
+
+    @staticmethod
+    def _slot(code: np.ndarray, bits: int = 20) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _code(self, data: np.ndarray, at: np.ndarray, r: int, a: int, b: int, state=None):
         """Samples a to b of the walks from positions `at`, 8 bits each."""
@@ -124,7 +147,7 @@ class Items:
     def candidates(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(window start, item) of windows that agree with an item's anchor; `ends`: no walk is taken beyond."""
         out = []
-        at = at[(_prefix(data, at) <= np.uint32(self.below)) & (at + STEPS <= ends)]
+        at = at[at + STEPS <= ends] if len(self.own) else at[:0]
         for r in range(len(self.tables)):
             code = self._code(data, at, r, 0, 4)
             on = np.flatnonzero(self.first[r][self._slot(code)])
@@ -145,6 +168,65 @@ class Items:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
+    def gram_candidates(self, data: np.ndarray, off: np.ndarray):
+        """(row, window start, item) of windows that share a gram with an item anchored at every byte, a few at a time."""
+        if not len(self.gram):
+            return
+        gram = _grams(data[: int(off[-1])])
+        on = np.flatnonzero(self.gram_seen[self._slot(gram, self.gram_bits)])
+        lo, hi = np.searchsorted(self.gram, gram[on], "left"), np.searchsorted(self.gram, gram[on], "right")
+        on, lo, n = on[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        total, a = np.cumsum(n), 0
+        while a < len(on):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HELD, "right")))
+            pos, m = np.repeat(on[a:b], n[a:b]), n[a:b]
+            seed = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            k, offset = self.gram_own[seed].astype(np.int64), self.gram_offset[seed].astype(np.int64)
+            row, w = np.searchsorted(off, pos, "right") - 1, pos - offset
+            keep = np.ones(len(k), bool)
+            long = np.flatnonzero(self.size[k] > WORD)
+            for some in np.array_split(long, len(long) // 16384 + 1):
+                p, own = self.begin[k[some]] + offset[some], k[some]
+                walk, stood = self._walk(self.flat, p, 0)
+                inside = stood < (self.size[own] - offset[some])[:, None]
+                keep[some] = ((self._walk(data, pos[some], 0)[0] == walk) & inside).sum(1) >= AGREE * inside.sum(1)
+            row, w, k = row[keep], w[keep], k[keep]
+            # of windows of an item that overlap but for a few bytes, one is enough
+            step = np.maximum(1, np.array(self.most, np.int64)[k] // 2)
+            _, one = np.unique(np.stack([row, k, w // step], 1), axis=0, return_index=True)
+            row, w, k = row[one], w[one], k[one]
+            yield row, w, k
+            a = b
+
+
+def edit_distances(patterns: list[bytes], which: np.ndarray, data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """edit_distance() of patterns of 1 to 64 bytes, `which` of them for each part a to z of the data, at once."""
+    out = np.zeros(len(which), np.int64)
+    for lo in range(0, len(which), 4096):
+        part = slice(lo, lo + 4096)
+        kinds, kind = np.unique(which[part], return_inverse=True)
+        masks = np.zeros((len(kinds), 256), np.uint64)
+        for j, k in enumerate(kinds.tolist()):
+            for i, c in enumerate(patterns[k]):
+                masks[j, c] |= np.uint64(1 << i)
+        m = np.array([len(patterns[k]) for k in kinds.tolist()], np.int64)[kind]
+        top, one = np.uint64(1) << (m - 1).astype(np.uint64), np.uint64(1)
+        pv, mv, score, best = np.full(len(m), ~np.uint64(0)), np.zeros(len(m), np.uint64), m.copy(), m.copy()
+        first, last = a[part], z[part]
+        with np.errstate(over="ignore"):
+            for t in range(int((last - first).max(initial=0))):
+                eq = masks[kind, data[np.minimum(first + t, last - 1)]]
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+                np.minimum(best, score, out=best, where=first + t < last)
+                ph, mh = ph << one, mh << one
+                pv, mv = mh | ~(xv | ph), ph & xv
+        out[part] = best
+    return out
+
+
 def edit_distance(pattern: bytes, text: bytes, most: int) -> int | None:
     """Fewest edits between the pattern and any part of the text, or None if more than `most`: Myers' bit vectors."""
     m = len(pattern)
@@ -185,10 +267,23 @@ class Search:
         ends = np.repeat(off[1:], count)
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for w, k in it.candidates(plain, start, ends).tolist():
+        sized, most_ = it.size, np.array(it.most, np.int64)
+        others = []
+        for row, w, k in it.gram_candidates(plain, off):
+            short = sized[k] <= WORD
+            others += zip(row[~short].tolist(), w[~short].tolist(), k[~short].tolist())
+            row, w, k = row[short], w[short], k[short]
+            a, z = np.maximum(w - most_[k], off[row]), np.minimum(w + sized[k] + most_[k] + most_[k] // 2, off[row + 1])
+            edits = edit_distances(it.bytes, k, plain, a, z)
+            good = edits <= most_[k]
+            for r, x, i, e in zip(row[good].tolist(), w[good].tolist(), k[good].tolist(), edits[good].tolist()):
+                if (r, i) not in seen or e < seen[r, i][1]:
+                    seen[r, i] = (max(x - int(off[r]), 0), e)
+        found = it.candidates(plain, start, ends)
+        # a window may begin before its row, or end after it, by edits: its middle lies in it
+        row = np.searchsorted(off, np.clip(found[:, 0] + sized[found[:, 1]] // 2, 0, max(len(data) - 1, 0)), "right") - 1
+        for row, w, k in [*zip(row.tolist(), *found.T.tolist()), *sorted(others)]:
             m, most = len(it.bytes[k]), it.most[k]
-            # a window may begin before its row, or end after it, by edits: its middle lies in it
-            row = int(np.searchsorted(off, min(max(w + m // 2, 0), len(data) - 1), "right")) - 1
             a, z = max(w - most, int(off[row])), min(w + m + most, int(off[row + 1]))
             if (row, k) in seen and seen[row, k][1] == 0 or done.get((row, k), -1 << 40) >= w - most // 2:
                 continue

@@ -497,6 +497,40 @@ def test_leaks(spark):
     assert leaks(spark, docs, []) == {} and leaks(spark, [], items) == {}
 
 
+def recall(items, trials=200, seed=6):
+    """Share of passages found that have one byte of ten replaced."""
+    rng, rows = random.Random(seed), []
+    for i in range(trials):
+        b = bytearray(items[i % len(items)].encode())
+        for j in rng.sample(range(len(b)), len(b) // 10):
+            b[j] = rng.choice(b"etaoinqxz")
+        rows.append(f"some words {b.decode()} and more")
+    off = np.r_[0, np.cumsum([len(r) for r in rows])]
+    hits = decontaminate.Search(decontaminate.Items(list(enumerate(items)))).hits(np.frombuffer("".join(rows).encode(), np.uint8), off)
+    return sum((i, i % len(items)) in {(r, k) for r, k, _, _ in hits} for i in range(trials)) / trials
+
+
+@pytest.mark.parametrize("size", [32, 40, 55, 75, 250])
+@pytest.mark.parametrize("spaced", [True, False])
+def test_recall_does_not_depend_on_the_block(size, spaced):
+    """At one edit in ten bytes, for blocks of 1, 5 and 200 items; short items and items without spaces as well."""
+    rng = random.Random(size)
+    say = lambda: "".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) + " " * spaced for _ in range(size))[:size]
+    items = [say().strip().ljust(size, "x") for _ in range(200)]
+    alone = sum(recall(items[i : i + 1], 20, i) for i in range(20)) / 20
+    assert min(alone, recall(items[:5]), recall(items)) >= 0.9
+
+
+def test_edit_distances():
+    rng = random.Random(2)
+    some = [bytes(rng.choice(b"abc") for _ in range(rng.choice((1, 7, 40, 63, 64)))) for _ in range(200)]
+    data = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(400)), np.uint8)
+    a = np.array([rng.randrange(300) for _ in some])
+    z = a + np.array([rng.randrange(1, 100) for _ in some])
+    got = decontaminate.edit_distances(some, np.arange(200), data, a, z)
+    assert got.tolist() == [decontaminate.edit_distance(p, data[i:j].tobytes(), 99) for p, i, j in zip(some, a, z)]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     items = frame(spark, [(i, "x" * 100) for i in range(10)], "item_id long, text string")
     assert [len(b) for b in decontaminate.blocks(items, 250)] == [2] * 5
