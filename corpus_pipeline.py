@@ -3,11 +3,11 @@
 1. language: documents whose text has no language the model knows well enough go (no letter, or a posterior under `SURE`).
 2. lines: lines of at least 20 characters that at least 3 documents have are kept only where the largest doc_id has them.
 3. near_duplicates: of documents linked by word 5-shingles at a similarity of 0.8 or more, the one with the least doc_id stays.
-4. decontaminate: documents that hold a benchmark passage, up to edits, go.
+4. decontaminate: documents that hold a benchmark passage, up to edits, go; rows that share a doc_id are decided each by its own text.
 5. encode: byte-level BPE ids of each text (n_tokens, ids), and whether they decode to it (exact).
 
 Null doc_ids, texts and languages go through every stage by the operators' own rules; stage 1 drops null texts, and stage 3 keeps or drops
-rows that repeat a doc_id together. Stages are written as Parquet in the shared folder and read again.
+rows that repeat both doc_id and text together. Stages are written as Parquet in the shared folder and read again.
 """
 
 from __future__ import annotations

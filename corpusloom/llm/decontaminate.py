@@ -15,11 +15,14 @@ The benchmark is collected only in blocks of at most `BLOCK` bytes, one pass ove
 
 Defined cases: null, empty and blank items match nothing; an item too short for a walk (about 32 bytes) is found by exact
 search; null texts hold nothing; repeated items and repeated rows each give their own rows (one row for each distinct
-(doc_id, item_id), the one with fewest edits); a null doc_id or item_id stays null in the result.
+(doc_id, item_id), the one with fewest edits); a null doc_id or item_id stays null in the result. without_leaks decides by row: of rows
+that share a doc_id, null or not, only those whose own text holds an item go.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -302,6 +305,9 @@ class Search:
         return [(row, k, s, e) for (row, k), (s, e) in seen.items()]
 
 
+_HIT = "doc_id long, item_id long, start long, edits long, item_bytes long"
+
+
 def _scan(items):
     def rows(batches):
         search = Search(items.value)
@@ -341,17 +347,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, repe
     out = None
     for rows in blocks(benchmark):
         sent = spark.sparkContext.broadcast(Items(rows, repeats, edits))
-        got = docs.select("doc_id", "text").mapInArrow(_scan(sent), "doc_id long, item_id long, start long, edits long, item_bytes long")
+        got = docs.select("doc_id", "text").mapInArrow(_scan(sent), _HIT)
         out = got if out is None else out.union(got)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start long, edits long, item_bytes long")
+        return spark.createDataFrame([], _HIT)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "item_bytes")).alias("m")).select("doc_id", "item_id", "m.start", "m.edits", "m.item_bytes")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents that hold no item. What is joined is one id for each that does."""
-    bad = find_leaks(docs, benchmark, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def _leaking(items):
+    def rows(batches):
+        search = Search(items.value)
+        for b in batches:
+            data, off = utf8(b.column(1))
+            docs = b.column(0)
+            for a, z in runs(off):
+                hit = sorted({r + a for r, *_ in search.hits(data[off[a] : off[z]], off[a : z + 1] - off[a])})
+                if hit:
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(hit)), pa.array([hashlib.md5(data[off[r] : off[r + 1]]).hexdigest() for r in hit])], ["_id", "_md5"])
+
+    return rows
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, repeats: int = REPEATS) -> DataFrame:
+    """The rows whose text holds no item. What is joined is the id and the text's md5 of each that does."""
+    spark = docs.sparkSession
+    bad = spark.createDataFrame([], "_id long, _md5 string")
+    for rows in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(Items(rows, repeats, edits))
+        bad = bad.union(docs.select("doc_id", "text").mapInArrow(_leaking(sent), "_id long, _md5 string"))
+    bad = bad.distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.md5(docs["text"]) == bad["_md5"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

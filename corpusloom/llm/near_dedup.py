@@ -20,8 +20,9 @@ square of the members that are not.
 Components are found by repeated minimum labels with shortcuts, checkpointed to the shared folder.
 
 Defined cases: a document without words has an empty set, links with nothing and is kept; fewer words than a shingle are
-one shingle; a null doc_id is treated as the least id; rows that repeat a doc_id are one node of the graph, with the links of each,
-and each row is returned with the id's component; an empty table gives none.
+one shingle; a null doc_id is treated as the least id; in near_duplicates, rows that repeat a doc_id are one node of the graph, with the links
+of each, and each row is returned with the id's component; without_near_duplicates, which drops rows, has a node for each (doc_id, text), so that
+no text goes for another one's links; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -352,8 +353,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+    got, labels = _linked(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text"), n, percent)
+    out = got.select("doc_id", "n").join(labels, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
+    )
+    null = F.lit(-(1 << 63))
+    return out.select(
+        F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept")
+    )
+
+
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What _per_doc gives for docs(doc_id, text), no id null, and (doc_id, label) of the ids that are linked."""
     t = least_matches(percent / 100)
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.col("doc_id").isNull().alias("null_id"))
     got = staged(docs.select("doc_id", "text").mapInArrow(_per_doc(n, K - t + 1), _DOC))
     full = got.filter("n > 0")
     # one representative for each distinct set
@@ -371,20 +383,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         links = links.union(_group_links(components(far), sets, percent))
     links = staged(links)
     edges = same.union(links)
-    labels = components(edges)
-    out = got.select("doc_id", "n").join(labels, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
-    )
-    null = F.lit(-(1 << 63))
-    return out.select(
-        F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept")
-    )
+    return got, components(edges)
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is the least of their component; of rows that repeat a doc_id all stay or go. Columns as they were."""
-    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows whose doc_id is the least of their component, null before all; columns as they were.
+
+    Nodes are 64-bit hashes of (doc_id, text), so of rows that share a doc_id each goes or stays by its own text (of two that are linked
+    with one another, one stays); rows that repeat both stay or go together.
+    """
+    node = F.xxhash64("doc_id", "text")
+    _, labels = _linked(docs.select(node.alias("doc_id"), "text"), n, percent)
+    members = docs.select(node.alias("node"), F.col("doc_id").alias("own")).join(labels.select(F.col("doc_id").alias("node"), "label"), "node").distinct()
+    first = members.groupBy("label").agg(F.min(F.struct("own", "node")).getField("node").alias("node"))
+    gone = labels.select(F.col("doc_id").alias("_gone")).join(first.select(F.col("node").alias("_gone")), "_gone", "left_anti")
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
 
 
 def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

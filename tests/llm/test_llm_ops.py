@@ -155,6 +155,15 @@ def test_near_odd_ids(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 3]
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Each text is left once, whichever ids its rows share."""
+    rows = [(None, "a b c d"), (3, "a b c d"), (3, "x y z"), (4, "x y z"), (None, "p q r s"), (None, "other words"), (7, "other words"), (8, None), (8, ""), (9, "m n o p q r"), (9, "M n o p q r")]
+    kept = near_dedup.without_near_duplicates(odd(frame(spark, rows))).collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    nine = [k for k in got if k[0] == 9]
+    assert len(nine) == 1 and got - Counter(nine) == Counter([(None, "a b c d"), (3, "x y z"), (None, "p q r s"), (None, "other words"), (8, None), (8, "")])
+
+
 def test_spanning_forest_connects_all_candidates():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, 64, dtype=np.uint8)
@@ -497,6 +506,13 @@ def test_leaks(spark):
     assert leaks(spark, docs, []) == {} and leaks(spark, [], items) == {}
 
 
+def test_clean_rows_that_share_an_id_stay(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here again"
+    rows = [(None, f"so {item} it is"), (None, "clean one"), (None, None), (5, item), (5, "clean two"), (5, "clean two"), (6, item), (7, "clean")]
+    clean = decontaminate.without_leaks(odd(frame(spark, rows)), frame(spark, [(1, item)], "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter([(None, "clean one"), (None, None), (5, "clean two"), (5, "clean two"), (7, "clean")])
+
+
 def recall(items, trials=200, seed=6):
     """Share of passages found that have one byte of ten replaced."""
     rng, rows = random.Random(seed), []
