@@ -9,12 +9,18 @@ from __future__ import annotations
 import json
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 #: Rows of a merge table that the driver may hold; public ones have up to about 500,000.
 IN_MEMORY = 1_000_000
+#: Merges that are applied anew to the saved symbols of word types in each round of training, before the symbols are saved again.
+PENDING = 32
+#: Symbols of training are code points, and from here on merges by their rank.
+FIRST = 0x110000
 
 
 def load_json(path: str) -> dict:
@@ -229,6 +235,126 @@ def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
     return out
 
 
+def _symbols(batches):
+    """Word types (w, n) as one row a batch: symbols, -1 after each type, and the types' counts."""
+    for b in batches:
+        w = b.column(0).to_pylist()
+        flat = np.frombuffer("".join(w).encode("utf-32-le"), np.int32)
+        out = np.insert(flat, np.cumsum([len(x) for x in w], dtype=np.int64), -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([b.column(1).to_numpy().astype(np.int64).tobytes()], pa.binary())], ["s", "n"])
+
+
+def _merged(s: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    """Symbols after the merges (left, right, product) in turn, each from left to right."""
+    for a, b, product in merges:
+        at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+        if a == b and len(at):
+            # of a run of overlapping places every second is taken
+            head = np.r_[True, np.diff(at) != 1]
+            at = at[(np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % 2 == 0]
+        if len(at):
+            s = s.copy()
+            s[at] = product
+            s = np.delete(s, at + 1)
+    return s
+
+
+def _apply(merges):
+    def rows(batches):
+        for b in batches:
+            new = [_merged(np.frombuffer(x.as_buffer(), np.int32), merges).tobytes() for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), b.column(1)], ["s", "n"])
+
+    return rows
+
+
+def _pair_counts(merges):
+    """Counts of the pairs of neighbours after the merges: the sums of a task."""
+
+    def rows(batches):
+        total: Counter = Counter()
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1)):
+                s = _merged(np.frombuffer(x.as_buffer(), np.int32), merges)
+                n = np.frombuffer(y.as_buffer(), np.int64)
+                own = n[np.minimum(np.cumsum(s < 0), len(n) - 1)]
+                inside = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
+                code = s[inside].astype(np.int64) << 32 | s[inside + 1]
+                order = np.argsort(code, kind="stable")
+                code, own = code[order], own[inside][order]
+                cut = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else code
+                if len(cut):
+                    for c, k in zip(code[cut].tolist(), np.add.reduceat(own, cut).tolist()):
+                        total[c] += k
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
+
+    return rows
+
+
+def settled(counts: list[tuple[tuple[str, str], int]], most: int, known=()) -> list[int]:
+    """The places of the pairs that are sure to be merged next, in order, by counts((left, right), n) in order of merging.
+
+    Merging (a, b) changes only pairs that end in a or begin with b, and each pair it makes occurs at most as often as one of these. So the next
+    pair is settled as long as it is none of these and occurs more often than all of them. A product that is in `known` or made twice adds to
+    pairs that are there already, so nothing is settled after it.
+    """
+    out: list[int] = []
+    ends, begins, made = set(), set(), set(known)
+    for i, ((a, b), n) in enumerate(counts):
+        if len(out) == most:
+            break
+        j = i
+        while out and j < len(counts) and counts[j][1] == n:
+            if counts[j][0][1] in ends or counts[j][0][0] in begins:
+                return out
+            j += 1
+        # a pair of one symbol twice overlaps itself: it is merged in a round of its own
+        if a == b:
+            return out or [i]
+        out.append(i)
+        ends.add(a)
+        begins.add(b)
+        if a + b in made:
+            break
+        made.add(a + b)
+    return out
+
+
+def train_bpe_types(types: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """train_bpe() over a table of counted word types (w, n) of any size.
+
+    The types stay distributed, as symbols in the shared folder; a round sums the pair counts of all types, and takes all merges that
+    they settle. What reaches the driver is a row for each distinct pair.
+    """
+    from corpusloom.sources.checkpoints import checkpointed
+
+    types = checkpointed(types.filter("w IS NOT NULL AND w <> ''").select("w", F.col("n").cast("long").alias("n")))
+    # few bytes but much work
+    n = max(types.sparkSession.sparkContext.defaultParallelism, types.count() // 100_000 + 1)
+    state = checkpointed(types.repartition(n).mapInArrow(_symbols, "s binary, n binary"))
+    names: dict[int, str] = {}
+    ids: dict[str, int] = {}
+    name = lambda k: names.get(k) or chr(k)
+    out: list[tuple[str, str]] = []
+    pending: list[tuple[int, int, int]] = []
+    while len(out) < merges:
+        got = state.mapInArrow(_pair_counts(pending), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+        if not got:
+            break
+        # different merges may give the same string: train_bpe has strings, so it is the same symbol
+        ranked = sorted((((name(r["pair"] >> 32), name(r["pair"] & 0xFFFFFFFF)), r["n"]) for r in got), key=lambda x: (-x[1], x[0]))
+        for i in settled(ranked, merges - len(out), ids):
+            a, b = ranked[i][0]
+            number = lambda t: ids[t] if len(t) > 1 else ord(t)
+            product = ids.setdefault(a + b, FIRST + len(ids))
+            names[product] = a + b
+            pending.append((number(a), number(b), product))
+            out.append((a, b))
+        if len(pending) >= PENDING and len(out) < merges:
+            state, pending = checkpointed(state.mapInArrow(_apply(pending), "s binary, n binary")), []
+    return out
+
+
 def encode_step(parts: list[str], pair: tuple[str, str]) -> list[str]:
     out, k = [], 0
     while k < len(parts):

@@ -12,6 +12,7 @@ from corpusloom.operators import scoring, splits, tokenizers, words
 from corpusloom.plans.catalog import register
 from corpusloom.plans.common import COUNTS
 from corpusloom.session import table
+from corpusloom.sources.checkpoints import checkpointed
 
 TOP = 400
 TOK = f"""top AS (SELECT w, n FROM ({COUNTS}) WHERE regexp_full_match(w, '[a-z]+') ORDER BY n DESC, w LIMIT {TOP}),
@@ -167,10 +168,14 @@ def vocabulary_overlap(spark, d):
 
 
 def learned(spark, d, n: int = 200):
-    """Word types with counts, and merges learned from the N most frequent ones (a bounded table)."""
-    types = words.counts(docs(spark, d))
-    rows = types.orderBy(F.desc("n"), "w").limit(5000).collect()
-    return types, tokenizers.train_bpe({r["w"]: r["n"] for r in rows}, n)
+    """Word types with counts, and merges learned from all of them."""
+    types = checkpointed(words.counts(docs(spark, d)))
+    return types, tokenizers.train_bpe_types(types, n)
+
+
+def learned_usage(types, merges):
+    """Each word type is encoded once and weighted by its count."""
+    return tokenizers.encode_types(types, merges).select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @register("bpe_train")
@@ -181,16 +186,15 @@ def bpe_train(spark, d):
 
 @register("bpe_encode")
 def bpe_encode(spark, d):
-    """Token counts of the learned BPE: each word type is encoded once and weighted by its count."""
-    types, merges = learned(spark, d)
-    return tokenizers.encode_types(types, merges).select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    """Token counts of the learned BPE."""
+    return learned_usage(*learned(spark, d))
 
 
 @register("unreachable_tokens")
 def unreachable_tokens(spark, d):
     """Pruning without the closure: kept tokens that the remaining merges no longer make, for the closed and the unclosed keep-set."""
     types, merges = learned(spark, d)
-    usage = bpe_encode(spark, d)
+    usage = learned_usage(types, merges)
     keep = usage.filter("n >= 50").select("token")
     table_ = spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string, product string")
     out = []

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import rules, scoring, splits, tokenizers, vectors, words
+from corpusloom.plans import tokenizer_queries
 
 
 def merges(spark):
@@ -39,6 +42,25 @@ def tok_json(n=60):
     return {"model": {"type": "BPE", "vocab": vocab, "merges": [f"{a} {b}" for a, b in pairs]}, "added_tokens": added, "post_processor": post}, counts
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "aé漢😀b"])
+def test_training_over_a_table_is_training_on_the_driver(spark, letters):
+    rng = random.Random(len(letters))
+    types = {"".join(rng.choices(letters, range(1, len(letters) + 1), k=rng.randint(1, 12))): rng.choice((1, 1, 2, 3, 50)) for _ in range(600)}
+    df = spark.createDataFrame(list(types.items()), "w string, n long").repartition(3)
+    assert tokenizers.train_bpe_types(df, 80) == tokenizers.train_bpe(types, 80)
+
+
+def test_merges_are_learned_from_all_types(spark, tmp_path):
+    """Rare types outweigh the 5,000 most frequent ones."""
+    rng = random.Random(1)
+    often = {"".join(rng.choices("abcdefgh", k=6)) for _ in range(5500)}
+    rare = {"qz" + "".join(rng.choices("ijklmnop", k=6)) for _ in range(20_000)}
+    text = " ".join([*often, *often, *rare])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    types, got = tokenizer_queries.learned(spark, str(tmp_path), 10)
+    assert got[0] == ("q", "z") and got == tokenizers.train_bpe({r["w"]: r["n"] for r in types.collect()}, 10)
+
+
 def test_prune_keeps_what_is_used(spark):
     """With every used token kept, all words are cut as before; ids are dense; merges stay in order."""
     tok, counts = tok_json()
