@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code takes at once; a longer text is taken alone, whole.
 CHUNK = 1 << 20
@@ -18,10 +19,15 @@ _UNDO: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary one; on a cluster other machines would not see that, so it is an error.
+    """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: this operator needs a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(top)
     elif not sc.getCheckpointDir():
@@ -53,6 +59,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null doc_id where a number is needed.
+NO_ID = -(1 << 63)
+
+
+def row_key(id_name: str, name_1: str, name_2: str, doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What names a row: its doc_id (NO_ID for null) and a 128-bit hash of its text; rows that share all three are alike."""
+    return [
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias(id_name),
+        F.xxhash64(F.col(text)).alias(name_1),
+        F.xxhash64(F.lit(0x5DEECE66D), F.col(text)).alias(name_2),
+    ]
+
+
 def spread(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit exchange: the session's own setting."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -3,16 +3,18 @@
 A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least `least_chars` code
 points that are in at least `least_docs` documents lose all their lines, except in the largest doc_id that has it.
 
-Plan: every document gives one row (128-bit key hash, doc_id, line positions) for each distinct long key. The rows
-are range-partitioned by (hash, doc_id descending), so that the rows of one very common line are dealt to many
-partitions, and sorted by hash, document and position. Each partition is then streamed once: the first row of a
+Plan: every row gives one row (128-bit key hash, doc_id, 128-bit text hash, line positions) for each distinct long key. These
+are range-partitioned by (hash, doc_id descending, text hash), so that the rows of one very common line are dealt to many
+partitions, and sorted by hash, document and position. Each partition is then streamed once: the first document of a
 hash is its keeper, the others are drops. A hash that crosses partitions is settled by what each partition says of its
 first and last hash (two rows a partition, the only thing that reaches the driver). Drops return as one compressed
-keep bitmap for each document, which is joined to the text by doc_id.
+keep bitmap for each row, which is joined to the text by doc_id and text hash.
 
-Defined cases: null or empty text is one empty line (``\\n`` splits, so n newlines make n + 1 lines); a null doc_id
-is a document like others that is smaller than any id; rows that repeat a doc_id count as one document and share the
-decision for their common lines by position.
+Defined cases: null or empty text is one empty line (``\\n`` splits, so n newlines make n + 1 lines). Rows that repeat a doc_id
+are one document: it counts once for a key, and where it is the keeper it keeps the line in all its rows; each row loses lines by
+its own positions. Rows with a null doc_id are documents of their own, smaller than any id and ordered by a hash of the text;
+those whose texts are equal too are one. An empty table gives an empty result; very long texts and lines are taken whole; columns
+of the input other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -26,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_dir, spread
+from corpusloom.llm.common import NO_ID, row_key, shared_dir, spread
 from corpusloom.session import table
 
 STRIP = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
-_NONE = -(1 << 63)
 #: Rows whose texts are Python strings at once.
 ROWS = 512
 
@@ -48,79 +49,92 @@ def _long_keys(text: str | None, least: int) -> dict[bytes, list[int]]:
     return found
 
 
+#: What names a row: doc_id (NO_ID for null) and a 128-bit hash of its text.
+ROW = ["row_id", "row_1", "row_2"]
+_LINES = "h1 long, h2 long, row_id long, row_1 long, row_2 long, pos array<int>"
+
+
 def _line_rows(least: int):
     def rows(batches):
         for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
-            h1, h2, ids, pos = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h1, h2, own, pos = [], [], [], []
+            for i, t in enumerate(b.column(3).to_pylist()):
                 for h, p in _long_keys(t, least).items():
                     x, y = struct.unpack("<qq", h)
                     h1.append(x)
                     h2.append(y)
-                    ids.append(d if d is not None else _NONE)
+                    own.append(i)
                     pos.append(p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.list_(pa.int32()))],
-                ["h1", "h2", "doc_id", "pos"],
-            )
+            key = [b.column(k).take(pa.array(own, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *key, pa.array(pos, pa.list_(pa.int32()))], [x.split()[0] for x in _LINES.split(", ")])
 
     return rows
 
 
-def _heads(b: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h1, h2, ids, and whether a row is a new (hash, document)."""
-    h1, h2, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    fresh = np.ones(len(ids), bool)
-    fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (ids[1:] != ids[:-1])
+def _documents(b: pa.RecordBatch) -> np.ndarray:
+    """Rows (h1, h2, id, text hash), the text hash 0 where the id alone names the document."""
+    out = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], 1)
+    out[out[:, 2] != NO_ID, 3:] = 0
+    return out
+
+
+def _fresh(rows: np.ndarray, last: tuple | None, width: int) -> np.ndarray:
+    """Where the first `width` columns differ from the row before."""
+    out = np.ones(len(rows), bool)
+    out[1:] = (rows[1:, :width] != rows[:-1, :width]).any(1)
     if last is not None:
-        fresh[0] = (h1[0], h2[0], ids[0]) != last
-    return h1, h2, ids, fresh
+        out[0] = tuple(rows[0, :width].tolist()) != last[:width]
+    return out
+
+
+_EDGE = "pid int, at int, h array<long>, n long, lo array<long>, hi array<long>"
 
 
 def _edges(batches):
-    """For the partition's first and last hash: documents counted, and the ids at either end."""
+    """For the partition's first and last hash: documents counted, and the documents at either end."""
     from pyspark import TaskContext
 
-    first = run = last = None  # [h1, h2, docs, first id, last id]
+    first = run = last = None  # [hash, documents, first one, last one]
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, ids, fresh = _heads(b, last)
-        cut = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        for a, z in zip(cut, np.r_[cut[1:], len(ids)]):
-            n = int(fresh[a:z].sum())
-            if run is not None and (run[0], run[1]) == (h1[a], h2[a]):
-                run[2] += n
-                run[4] = int(ids[z - 1])
+        rows = _documents(b)
+        fresh = _fresh(rows, last, 5)
+        cut = np.flatnonzero(_fresh(rows, None, 2))
+        for a, z in zip(cut, np.r_[cut[1:], len(rows)]):
+            n, h = int(fresh[a:z].sum()), rows[a, :2].tolist()
+            if run is not None and run[0] == h:
+                run[1] += n
+                run[3] = rows[z - 1, 2:].tolist()
             else:
                 if first is None and run is not None:
                     first = list(run)
-                run = [int(h1[a]), int(h2[a]), n, int(ids[a]), int(ids[z - 1])]
-        last = (h1[-1], h2[-1], ids[-1])
+                run = [h, n, rows[a, 2:].tolist(), rows[z - 1, 2:].tolist()]
+        last = tuple(rows[-1].tolist())
     if run is not None:
         got = [run] if first is None else [first, run]
         pid = TaskContext.get().partitionId()
-        kinds = {"pid": pa.int32(), "at": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "n": pa.int64(), "lo": pa.int64(), "hi": pa.int64()}
-        rows = [dict(zip(kinds, [pid, i, *g])) for i, g in enumerate(got)]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds.items()))
+        many = pa.list_(pa.int64())
+        kinds = {"pid": pa.int32(), "at": pa.int32(), "h": many, "n": pa.int64(), "lo": many, "hi": many}
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds, [pid, i, *g])) for i, g in enumerate(got)], pa.schema(kinds.items()))
 
 
-def _carry(edges: list) -> dict[int, dict[tuple[int, int], tuple[int, int, int | None]]]:
-    """For each partition and edge hash: all documents of that hash, those in earlier partitions, and the last id before."""
-    total: dict[tuple[int, int], int] = {}
+def _carry(edges: list) -> dict[int, dict[tuple, tuple[int, int, tuple | None]]]:
+    """For each partition and edge hash: all documents of that hash, those in earlier partitions, and the last one before."""
+    total: dict[tuple, int] = {}
     before: dict[int, dict] = {}
-    end: dict[tuple[int, int], int] = {}
+    end: dict[tuple, tuple] = {}
     for r in sorted(edges, key=lambda r: (r["pid"], r["at"])):
-        h = (r["h1"], r["h2"])
+        h = tuple(r["h"])
         seen, prev = total.get(h, 0), end.get(h)
-        n = r["n"] - (prev is not None and prev == r["lo"])  # a document whose rows were cut apart
+        n = r["n"] - (prev == tuple(r["lo"]))  # a document whose rows were cut apart
         before.setdefault(r["pid"], {})[h] = (seen, prev)
-        total[h], end[h] = seen + n, r["hi"]
+        total[h], end[h] = seen + n, tuple(r["hi"])
     return {p: {h: (total[h], s, prev) for h, (s, prev) in x.items()} for p, x in before.items()}
 
 
 def _drops(carry: dict, least_docs: int):
-    """Streams a sorted partition; gives (doc_id, pos) of the lines that go. At most least_docs rows wait."""
+    """Streams a sorted partition; gives the lines that go, by row and position. Rows of at most least_docs documents wait."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -130,23 +144,22 @@ def _drops(carry: dict, least_docs: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            h1, h2, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            pos = b.column(3)
-            out_id, out_row = [], []
-            late: list[tuple[int, list]] = []
+            docs = _documents(b)
+            out_row: list[int] = []
+            late: list[pa.RecordBatch] = []
             # rows whose hash has no equal neighbour are single: only the rest are looked at
-            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            busy = np.zeros(len(ids), bool)
+            same = (docs[1:, :2] == docs[:-1, :2]).all(1)
+            busy = np.zeros(len(docs), bool)
             busy[1:] |= same
             busy[:-1] |= same
             busy[[0, -1]] = True
-            for i in np.flatnonzero(busy):
-                h = (int(h1[i]), int(h2[i]))
+            for i in np.flatnonzero(busy).tolist():
+                x = docs[i].tolist()
+                h, d = tuple(x[:2]), tuple(x[2:])
                 if h != hash_:
                     all_, seen, end = own.get(h, (0, 0, None))
                     hash_, n, known, waiting, prev = h, seen, all_ >= least_docs, [], end
                     keeper = "before" if seen else None
-                d = int(ids[i])
                 if d != prev:
                     n, prev = n + 1, d
                     if keeper is None:
@@ -156,18 +169,12 @@ def _drops(carry: dict, least_docs: int):
                 if known or n >= least_docs:
                     late += waiting
                     waiting, known = [], True
-                    out_id.append(d)
                     out_row.append(i)
                 else:
-                    waiting.append((d, pos[int(i)].as_py()))
-            if out_id or late:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in late] + out_id, pa.int64()),
-                        pa.concat_arrays([pa.array([p for _, p in late], pa.list_(pa.int32())), pos.take(pa.array(out_row, pa.int64())).cast(pa.list_(pa.int32()))]),
-                    ],
-                    ["doc_id", "pos"],
-                )
+                    waiting.append(b.slice(i, 1).select([*ROW, "pos"]))
+            if out_row or late:
+                yield from late
+                yield b.select([*ROW, "pos"]).take(pa.array(out_row, pa.int64()))
 
     return rows
 
@@ -184,37 +191,42 @@ def kept_lines(lines: list, bitmap: bytes | None) -> list:
 
 
 def _bitmaps(batches):
-    """Rows of a document arrive together: (doc_id, pos lists) to (doc_id, number of lines dropped, bitmap)."""
+    """Rows of a row key and its lists of positions to the key, the number of lines dropped, and the bitmap."""
     for b in batches:
-        ids, maps, n = [], [], []
-        for d, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        maps, n = [], []
+        for ps in b.column(3).to_pylist():
             flat = sorted({x for p in ps for x in p})
-            last = flat[-1] + 1
-            keep = np.ones(-(-last // 8) * 8, np.uint8)
+            keep = np.ones(-(-(flat[-1] + 1) // 8) * 8, np.uint8)
             keep[flat] = 0
-            ids.append(d)
             n.append(len(flat))
             maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 6))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["doc_key", "n_dropped", "keep"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(maps, pa.binary())], [*ROW, "n_dropped", "keep"])
 
 
 def line_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(doc_key, n_dropped, keep) for the documents that lose lines; doc_key is doc_id, or the least long for null."""
+    """(row_id, row_1, row_2, n_dropped, keep) for the rows that lose lines; the first three are common.row_key()."""
     spark = docs.sparkSession
-    lines = docs.select("doc_id", "text").mapInArrow(_line_rows(least_chars), "h1 long, h2 long, doc_id long, pos array<int>")
-    by = [F.col("h1"), F.col("h2"), F.col("doc_id").desc()]
+    lines = docs.select(*row_key(*ROW), "text").mapInArrow(_line_rows(least_chars), _LINES)
+    by = [F.col("h1"), F.col("h2"), F.col("row_id").desc(), F.col("row_1"), F.col("row_2")]
     dealt = lines.repartitionByRange(spread(spark), *by).sortWithinPartitions(*by, F.col("pos")[0])
     shared_dir(spark)  # sets the checkpoint folder where it is unset
     dealt = dealt.checkpoint()  # keeps the partitions and their order for both passes
-    edges = dealt.select("h1", "h2", "doc_id").mapInArrow(_edges, "pid int, at int, h1 long, h2 long, n long, lo long, hi long").collect()
-    drops = dealt.mapInArrow(_drops(_carry(edges), least_docs), "doc_id long, pos array<int>")
-    return drops.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "doc_key long, n_dropped long, keep binary")
+    edges = dealt.drop("pos").mapInArrow(_edges, _EDGE).collect()
+    drops = dealt.mapInArrow(_drops(_carry(edges), least_docs), "row_id long, row_1 long, row_2 long, pos array<int>")
+    return drops.groupBy(*ROW).agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "row_id long, row_1 long, row_2 long, n_dropped long, keep binary")
+
+
+def _with_keep(docs: DataFrame, columns: list[str], out: str, **kw) -> DataFrame:
+    """The columns with each row's bitmap, null where no line goes."""
+    names = [f"__line_{c}" for c in ROW]
+    maps = line_bitmaps(docs.select("doc_id", "text"), **kw).select(*[F.col(c).alias(n) for c, n in zip(ROW, names)], F.col("keep").alias("__line_keep"))
+    keyed = docs.select(*columns, *row_key(*names))
+    return keyed.join(maps, names, "left").select(*columns, F.col("__line_keep").alias(out))
 
 
 def with_bitmaps(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, text, keep) of docs."""
-    key = F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("doc_key")
-    return docs.select("doc_id", "text", key).join(line_bitmaps(docs, **kw), "doc_key", "left").select("doc_id", "text", "keep")
+    return _with_keep(docs, ["doc_id", "text"], "keep", **kw)
 
 
 def _apply(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
@@ -246,9 +258,7 @@ def _cut(names: list[str]):
 
 def dedup_lines(docs: DataFrame, **kw) -> DataFrame:
     """The documents without their dropped lines; other columns as they were. n_chars, if there, is counted anew where lines went."""
-    maps = line_bitmaps(docs.select("doc_id", "text"), **kw).select(F.col("doc_key").alias("__line_key"), F.col("keep").alias("__line_keep"))
-    keyed = docs.select("*", F.coalesce(F.col("doc_id"), F.lit(_NONE)).alias("__line_key"))
-    return keyed.join(maps, "__line_key", "left").select(*docs.columns, "__line_keep").mapInArrow(_cut(docs.columns), docs.schema)
+    return _with_keep(docs, docs.columns, "__line_keep", **kw).mapInArrow(_cut(docs.columns), docs.schema)
 
 
 def _digest(batches):

@@ -4,14 +4,16 @@ Each archive is one file: a skippable frame (magic 0x184D2A5D) that holds a Zsta
 archive's own records, then one Zstandard frame for each record, compressed alone with that dictionary. Pages whose
 payload (at least `least` bytes) repeats are written once, for the largest page_id, and as revisits elsewhere.
 
-Plan: SHA-1 and sizes are computed in the JVM; repeated digests are found by a partially aggregated groupBy over
-(digest, size) without the payloads; the few revisits join the pages by page_id, so that a payload which a third of the
-pages share is not dealt by its digest. Writers roll a new archive at `roll` payload bytes, write under a name of
+Plan: SHA-1 and sizes are computed in the JVM; repeated digests are found by a partially aggregated groupBy without the
+payloads, and join the pages' digests in narrow rows (a join that Spark splits where a payload is common); the revisits this
+gives, one row for each (page_id, digest), join the pages, so that payloads are not dealt by their digest. Writers roll a new archive at `roll` payload bytes, write under a name of
 their own attempt and rename, and pass on only names; archives are read back by Spark's binaryFile reader.
 
-Defined cases: a null html is an empty payload; a null url is written without a target; a null page_id gets no
-revisit and is none; rows that repeat a page_id are records of their own (all of them responses where that id is the
-largest, else revisits). An archive with too little to learn from has an empty dictionary frame.
+Defined cases: a null html is an empty payload; a null url is written without a target; a null page_id is less than any other, so it
+revisits the page that has its payload, and where only null ids have that payload all are responses; rows that repeat a page_id are
+records of their own (all of them responses where that id is the largest, else revisits). An empty table gives a folder with an empty
+manifest, from which no record is read. Very long payloads make an archive of their own. An archive with too little to learn from has
+an empty dictionary frame. Other columns of the pages may have any name.
 """
 
 from __future__ import annotations
@@ -117,11 +119,12 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, html, digest, refers_to): the records to write."""
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     sized = pages.select("page_id", "url", "html", F.sha1(raw).alias("digest"), F.length(raw).cast("long").alias("size"))
-    long_ = sized.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    same = long_.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = long_.join(same, "digest").filter("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    long_ = sized.filter(F.col("size") >= least).select("page_id", "digest")
+    same = long_.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    again = long_.join(same, "digest").filter("page_id IS NULL OR page_id <> first")
+    again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
     # by page_id, with the digest to tell rows apart that repeat an id
-    return sized.drop("size").join(again, ["page_id", "digest"], "left")
+    return sized.drop("size").join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
 
 
 def _write(folder: str, roll: int):
@@ -199,5 +202,5 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000"""
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1000"""

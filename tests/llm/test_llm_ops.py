@@ -404,8 +404,12 @@ def test_warc(spark, tmp_path):
     for p, _, html in rows:
         raw = (html or "").encode()
         assert got[p]["payload_bytes"] == len(raw) and got[p]["payload_digest"] == hashlib.sha1(raw).hexdigest()
-    assert [got[p]["refers_to"] for p in (1, 2, 9, 3, 4, None)] == [9, 9, None, None, None, None]
+    assert [got[p]["refers_to"] for p in (1, 2, 9, 3, 4, None)] == [9, 9, None, None, None, 9]
     assert [got[p]["record_type"] for p in (1, 9, 4)] == ["revisit", "response", "response"]
+    again = frame(spark, [(5, "a", long_), (5, "a", long_), (4, "b", long_), (4, "c", long_), (6, "d", None), (None, "e", "q" * 2000), (None, "f", "q" * 2000)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(again), f"file://{tmp_path}/r")
+    told = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, f"file://{tmp_path}/r").collect())
+    assert told == Counter({(5, "response", None): 2, (4, "revisit", 5): 2, (6, "response", None): 1, (None, "response", None): 2})
     warc.write_archives(warc.plan_records(pages.limit(0)), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
