@@ -1,13 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The characters of a text are lower-cased, everything but letters becomes one space, and the 1- to 3-grams of the
-result are hashed into a fixed number of buckets. Training counts them by language on a bounded sample of labelled
-rows (`most_rows`, picked by a hash of doc_id); the log-probability matrix (languages x buckets, at most
-`MOST_LANGS` languages, so at most 128 MB) is broadcast; batches of whole texts are scored as sparse rows in numpy.
-
-Defined cases: a null text or one without a letter is `und` with score 0; without any training row all are `und`;
-rows whose lang is null, or whose text has no letter, teach nothing; ties go to the language first in code-point order;
-if there are more than MOST_LANGS languages, an error is raised. Repeated rows count as often as they occur.
+result are hashed into a fixed number of buckets. Training counts them by language on a bounded sample of the labelled texts:
+about `most_rows` distinct texts in all, an equal share for each language, picked by a hash of the text (a language that has fewer gives all it
+has). Counts are sums by language and bucket in the JVM, so their result does not depend on the layout of the files. The log-probability matrix
+is broadcast in blocks of at most `MOST_LANGS` languages (64 MB); batches of whole texts are scored as sparse rows in numpy, one block
+after the other where there are several. Priors are the languages' shares of all labelled rows.
+
+Defined cases: a null text or one without a letter is `und` with score 0; without any training row, or in an empty table, all are `und`;
+rows whose lang is null, or whose text is null or has no letter, teach nothing; ties go to the language first in code-point order. Equal texts of a
+language teach once, however often and under whatever doc_id, null or not, they occur. Very long texts are scored whole. The columns that are kept may have any name
+but `lang_pred` and `score`, whose place is taken.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import runs
+from corpusloom.llm.common import runs, staged
 from corpusloom.session import table
 
-#: Log2 of the buckets; orders of the n-grams; added count; bound on sampled training rows; bound on languages.
+#: Log2 of the buckets; orders of the n-grams; added count; sampled training texts; languages of a block.
 BITS, ORDERS, ALPHA, MOST_ROWS, MOST_LANGS = 16, (1, 2, 3), 0.5, 60_000, 256
 UND = "und"
 #: Rows whose texts are Python strings at once.
@@ -70,76 +73,122 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(own), letters) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), letters)
 
 
-def _count(langs: list[str]):
-    """Dense counts of a partition, one row for each language."""
-    at = {x: i for i, x in enumerate(langs)}
-
-    def rows(batches):
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
-        docs = np.zeros(len(langs), np.int64)
-        for b in batches:
-            text, lang = b.column(0).to_pylist(), b.column(1).to_pylist()
-            k = np.array([at[x] for x in lang], np.int64)
-            size = np.r_[0, np.cumsum([len(t) for t in text])]
-            for a, z in runs(size, 1 << 18):
-                g, own, letters = _grams(text[a:z])
-                total += np.bincount(k[a:z][own] * (1 << BITS) + g, minlength=total.size).reshape(total.shape)
-                docs += np.bincount(k[a:z][letters > 0], minlength=len(langs))
-        if docs.any():
-            yield pa.RecordBatch.from_pydict({"lang": langs, "docs": pa.array(docs, pa.int64()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
-
-    return rows
-
-
-def _merge(key, pdf):
-    import pandas as pd
+#: Languages whose dense counts a task holds at once, and rows of counts in a batch that it gives.
+HELD_LANGS, PIECE = 64, 1 << 16
+#: Languages of a count table that may be broadcast for sampling.
+MOST_SENT = 100_000
 
-    total = np.zeros(1 << BITS, np.int64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(x, np.int64)
-    return pd.DataFrame({"lang": [key[0]], "docs": [int(pdf["docs"].sum())], "counts": [total.tobytes()]})
 
+def _counts(batches):
+    """(lang, text) to the counts that are not 0 of each language's buckets; bucket -1 counts texts with a letter."""
 
-class Model:
-    """Languages, log priors and the log-probability matrix, bucket by language."""
+    def given(held: dict):
+        for lang, x in held.items():
+            on = np.flatnonzero(x)
+            for a in range(0, len(on), PIECE):
+                k = on[a : a + PIECE]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array((k - 1).astype(np.int32)), pa.array(x[k])], ["lang", "bucket", "n"])
 
-    def __init__(self, langs: list[str], docs: np.ndarray, counts: np.ndarray):
+    held: dict[str, np.ndarray] = {}
+    for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+        text, lang = b.column(1).to_pylist(), np.array(b.column(0).to_pylist(), object)
+        size = np.r_[0, np.cumsum([len(t) for t in text])]
+        for a, z in runs(size, 1 << 18):
+            g, own, letters = _grams(text[a:z])
+            for name in sorted(set(lang[a:z])):
+                mine = lang[a:z] == name
+                x = held.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))
+                x[1:] += np.bincount(g[mine[own]], minlength=1 << BITS)
+                x[0] += int((letters[mine] > 0).sum())
+            if len(held) > HELD_LANGS:
+                yield from given(held)
+                held = {}
+    yield from given(held)
+
+
+class Block:
+    """Some of the languages, their log priors, and the log-probability matrix, bucket by language."""
+
+    def __init__(self, langs: list[str], share: np.ndarray, counts: np.ndarray):
         self.langs = langs
-        self.prior = np.log(docs / docs.sum()).astype(np.float32)
+        self.prior = np.log(share).astype(np.float32)
         p = counts + ALPHA
         self.logp = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32))
 
-    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        names, probs = [], []
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the best language's number (-1 without a letter), its log score, and the log of the sum over the block's languages."""
+        best, top, total = [], [], []
         size = np.r_[0, np.cumsum([len(t) for t in texts])]
         for a, z in runs(size, 1 << 18):
             g, own, letters = _grams(texts[a:z])
-            n = z - a
-            total = np.stack([np.bincount(own, self.logp[:, i][g], n) for i in range(len(self.langs))], 1) + self.prior
-            best = total.argmax(1)
-            p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            for i in range(n):
-                names.append(self.langs[best[i]] if letters[i] else UND)
-                probs.append(float(p[i]) if letters[i] else 0.0)
-        return names, probs
-
-
-def train(labelled: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
-    """From (doc_id, text, lang); None if there is nothing to learn from."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    langs, n = sorted(r["lang"] for r in sizes), sum(r["count"] for r in sizes)
+            x = np.stack([np.bincount(own, self.logp[:, i][g], z - a) for i in range(len(self.langs))], 1) + self.prior
+            k = x.argmax(1)
+            m = x[np.arange(z - a), k]
+            best.append(np.where(letters > 0, k, -1))
+            top.append(m)
+            total.append(m + np.log(np.exp(x - m[:, None]).sum(1)))
+        return tuple(np.concatenate(v) if v else np.zeros(0) for v in (best, top, total))
+
+
+class Model:
+    """Languages in code-point order, in blocks."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for b in self.blocks for x in b.langs]
+
+
+def train(labelled: DataFrame, most_rows: int = MOST_ROWS, block: int = MOST_LANGS) -> Model | None:
+    """From (text, lang); None if there is nothing to learn from."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = staged(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")))
+    langs = sizes.count()
     if not langs:
         return None
-    if n > most_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("langid sample"), "doc_id"), F.lit(n)) < most_rows)
-    got = rows.select("text", "lang").mapInArrow(_count(langs), "lang string, docs long, counts binary").groupBy("lang").applyInPandas(_merge, "lang string, docs long, counts binary").collect()
-    got = sorted((r for r in got if r["docs"]), key=lambda r: r["lang"])
-    if not got:
-        return None
-    return Model([r["lang"] for r in got], np.array([r["docs"] for r in got]), np.stack([np.frombuffer(r["counts"], np.int64) for r in got]))
+    quota = max(1, most_rows // langs)
+    known = sizes.select(F.col("lang").alias("_lang"), "texts")
+    picked = rows.join(F.broadcast(known) if langs <= MOST_SENT else known, F.col("lang") == F.col("_lang"))
+    picked = picked.filter(F.pmod(F.xxhash64(F.lit("langid sample"), "h"), F.greatest("texts", F.lit(1))) < quota)
+    counts = picked.select("lang", "text").distinct().mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = staged(counts) if langs > block else counts
+    # a name and a few numbers for each language
+    seen = {r["lang"]: r["rows"] for r in sizes.toLocalIterator()}
+    names = sorted(seen)
+    blocks, total = [], sum(seen.values())
+    for a in range(0, langs, block):
+        own = names[a : a + block]
+        # at most `block` x 65,537 rows of numbers
+        got = (counts if langs <= block else counts.filter(F.col("lang").between(own[0], own[-1]))).toArrow()
+        at = {x: i for i, x in enumerate(own)}
+        lang = got.column("lang").combine_chunks().dictionary_encode()
+        number = np.array([at[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if got.num_rows else np.zeros(0, np.int64)
+        dense = np.zeros((len(own), (1 << BITS) + 1), np.int64)
+        dense[number, got.column("bucket").to_numpy() + 1] = got.column("n").to_numpy()
+        keep = np.flatnonzero(dense[:, 0])
+        if len(keep):
+            blocks.append(Block([own[i] for i in keep], np.array([seen[own[i]] for i in keep]) / total, dense[keep, 1:]))
+    return Model(blocks) if blocks else None
+
+
+_STATE = "__langid_name string, __langid_best double, __langid_sum double"
+
+
+def _scored(sent, names: list[str]):
+    """Columns, the text, and what the blocks before found, with this block's findings taken in."""
+
+    def rows(batches):
+        m = sent.value
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+            n = b.num_columns
+            k, top, total = m.score([t or "" for t in b.column(n - 4).to_pylist()])
+            name, best, all_ = b.column(n - 3).to_pylist(), b.column(n - 2).to_numpy(zero_copy_only=False), b.column(n - 1).to_numpy(zero_copy_only=False)
+            name = [m.langs[i] if i >= 0 and x > y else old for i, x, y, old in zip(k.astype(int).tolist(), top, best, name)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(name, pa.string()), pa.array(np.maximum(best, top)), pa.array(np.logaddexp(all_, total))], names)
+
+    return rows
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -147,17 +196,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     if model is None:
         return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches):
-        m = sent.value
-        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
-            names, probs = m.score([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(names, pa.string()), pa.array(probs, pa.float64())], [*keep, "lang_pred", "score"])
-
-    given = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(rows, f"{schema}, lang_pred string, score double")
+    none = F.lit(float("-inf"))
+    given = docs.select(*keep, F.col("text").alias("__langid_text"), F.lit(None).cast("string").alias("__langid_name"), none.alias("__langid_best"), none.alias("__langid_sum"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-3])
+    for block in model.blocks:
+        given = given.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(block), given.columns), f"{schema}, {_STATE}")
+    name = F.col("__langid_name")
+    score = F.when(name.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("__langid_best") - F.col("__langid_sum"))))
+    return given.select(*keep, F.coalesce(name, F.lit(UND)).alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
