@@ -1,40 +1,45 @@
 """Benchmark decontamination: passages of documents within a share of edits of a benchmark item.
 
 Texts are compared as UTF-8 bytes with A-Z lower-cased and ASCII white space as a space. An item-sized window of a
-document is tied to an item at an anchor: one of `ANCHORS` word starts spread over the item; every word start of a document is
-looked at, so an item's anchors, and its recall, do not depend on the other items. From the anchor both
+document is tied to an item at an anchor. Anchors are places that a rule on their own three bytes picks (one of `ONE_IN`), in items and documents
+alike, so they need no words, and those of an item do not depend on the other items. From the anchor both
 sides take the same CGK walk (at each step a random bit, which depends on the step and the byte read, says whether to
 move on), which turns few edits into few differing steps. A repetition samples `SAMPLES` steps of one walk; windows
 and items that agree in all of them are candidates. Samples are looked up four first, so that nearly all windows
-leave after a dozen steps. Anchors times repetitions bring recall to its target (0.9 at one edit in ten bytes; tests measure it);
-an exact copy agrees in every walk, so it is always found. An item with fewer word starts (a short one, or one without spaces) is
-anchored at every byte instead: wherever `GRAM` bytes of a document are `GRAM` bytes of it. With one edit in ten bytes or fewer, at least
-one such run of it is left whole. Candidates are confirmed by edit distance (Myers' bit vectors, free ends).
-
-The benchmark is collected only in blocks of at most `BLOCK` bytes, one pass over the documents for each block.
-
-Defined cases: null, empty and blank items match nothing; an item too short for a walk (about 32 bytes) is found by exact
-search; null texts hold nothing; repeated items and repeated rows each give their own rows (one row for each distinct
-(doc_id, item_id), the one with fewest edits); a null doc_id or item_id stays null in the result. without_leaks decides by row: of rows
-that share a doc_id, null or not, only those whose own text holds an item go.
+leave after a dozen steps. All anchors of an item, times `REPEATS` repetitions, bring recall to its target (0.9 at `EDITS`, one edit in
+five bytes at random places; tests measure it); an exact copy agrees in every walk, so it is always found. An item with fewer than `ANCHORS` anchors is
+tied at every byte instead: wherever `GRAM` bytes of a document are bytes of it (`SMALL_GRAM` for an item under `SMALL` bytes). An item of
+under `SHORT` bytes is matched up to one edit in ten bytes only; such a passage always has one of these grams left whole, so none is
+missed. Candidates are confirmed by edit distance (Myers' bit vectors, free ends).
+
+The benchmark is collected only in blocks of at most `BLOCK` bytes, one pass over the documents for each block; of several blocks each one's
+result is written before the next is sent, and its broadcast is dropped.
+
+Defined cases: null, empty and blank items match nothing; null and empty texts hold nothing; very long texts are taken whole, and a passage is found
+wherever it stands in them; repeated items and repeated rows each give their own rows (one row for each distinct
+(doc_id, item_id), the one with fewest edits); a null doc_id or item_id stays null in the result; an empty table of documents or items gives an
+empty result, or drops nothing. Other columns may have any name. without_leaks decides by row: of rows that share a doc_id, null or
+not, only those whose own text holds an item go.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, SPACE, runs, utf8, words
+from corpusloom.llm.common import LOWER, SPACE, forget_at_exit, runs, shared_dir, utf8
 from corpusloom.session import table
 
-#: Most edits as a share of an item's bytes; anchors of an item; repetitions; bytes of items in a block.
-EDITS, ANCHORS, REPEATS, BLOCK = 0.2, 8, 3, 8 << 20
-#: Bytes of an anchor at any position; bytes of an item whose candidates are all confirmed at once; candidates held at once.
-GRAM, WORD, HELD = 8, 64, 1 << 18
+#: Most edits as a share of an item's bytes, and of those of an item of under SHORT bytes.
+EDITS, SHORT_EDITS, SHORT = 0.2, 0.1, 56
+#: An anchor is a place in so many; anchors of an item, at least; repetitions; bytes of items in a block.
+ONE_IN, ANCHORS, REPEATS, BLOCK = 6, 14, 3, 8 << 20
+#: Bytes of a gram at any position, and those for an item of under SMALL bytes, which is never under LEAST unless it is searched as it is.
+GRAM, SMALL_GRAM, SMALL, LEAST = 8, 5, 40, 10
+#: Bytes of an item whose candidates are all confirmed at once; candidates held at once.
+WORD, HELD = 64, 1 << 18
 #: Ranges of steps that one sample each is drawn from.
 RANGES = ((0, 2), (2, 5), (5, 8), (8, 12), (12, 16), (16, 21), (21, 26), (26, 32))
 SAMPLES, STEPS = len(RANGES), RANGES[-1][1]
@@ -51,47 +56,55 @@ def _walks(repeats: int) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.array([[rng.integers(a, b) for a, b in RANGES] for _ in range(repeats)])
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """The `GRAM` bytes at each position, as a number."""
-    out = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
+def _grams(data: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """The first `n` of the 8 bytes at each position, as a number."""
+    out = np.zeros(max(0, len(data) - 7), np.uint64)
     raw = np.ascontiguousarray(data)
-    for i in range(min(GRAM, len(out))):
-        out[i::GRAM] = np.frombuffer(raw, "<u8", (len(raw) - i) // GRAM, i)
-    return out
+    for i in range(min(8, len(out))):
+        out[i::8] = np.frombuffer(raw, "<u8", (len(raw) - i) // 8, i)
+    return out & np.uint64((1 << 8 * n) - 1)
+
+
+def anchors_of(data: np.ndarray) -> np.ndarray:
+    """The places that the rule picks: a hash of the three bytes there."""
+    x = data.astype(np.uint32)
+    h = (x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+    return np.flatnonzero((h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA77) < np.uint32((1 << 32) // ONE_IN))
 
 
 class Items:
     """A block of items with the hash tables of their anchors."""
 
-    def __init__(self, rows: list[tuple], repeats: int = REPEATS, edits: float = EDITS, anchors: int = ANCHORS):
+    def __init__(self, rows: list[tuple], repeats: int = REPEATS, edits: float = EDITS):
         self.ids = [r[0] for r in rows]
         self.bytes = [PLAIN[np.frombuffer((r[1] or "").encode("utf-8", "surrogatepass"), np.uint8)].tobytes().strip() for r in rows]
-        self.most = [int(len(b) * edits) for b in self.bytes]
+        self.most = [int(len(b) * (edits if len(b) >= SHORT else min(edits, SHORT_EDITS))) for b in self.bytes]
         self.bits, self.steps = _walks(repeats)
-        self.plain, picked, sparse = [], [], []
+        self.plain, picked, sparse, small = [], [], [], []
         for k, b in enumerate(self.bytes):
-            if not b:
-                continue
-            if len(b) < STEPS:
-                self.plain.append(k)
+            if len(b) < LEAST:
+                self.plain += [k] if b else []
                 continue
-            start, _, _ = words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-            start = start[start <= len(b) - STEPS]
-            if len(start) >= anchors:
-                picked.append((k, start[np.linspace(0, len(start) - 1, anchors).astype(np.int64)]))
+            at = anchors_of(np.frombuffer(b, np.uint8))
+            at = at[at <= len(b) - STEPS]
+            if len(at) >= ANCHORS:
+                picked.append((k, at))
+            elif len(b) < SMALL:
+                small.append((k, np.arange(len(b) - SMALL_GRAM + 1)))
             else:
-                sparse.append((k, np.arange(len(b) - (GRAM if len(b) <= WORD else STEPS) + 1)))
+                sparse.append((k, np.arange(len(b) - GRAM + 1)))
         self.own, self.offset = self._anchors(picked)
         flat = np.frombuffer(b"".join(self.bytes) + bytes(LONG), np.uint8)
         begin = np.r_[0, np.cumsum([len(b) for b in self.bytes])][:-1].astype(np.int64)
         self.flat, self.begin, self.size = flat, begin, np.array([len(b) for b in self.bytes], np.int64)
         at = begin[self.own] + self.offset
-        self._table(flat, sparse)
+        self.grams = [self._table(flat, x, n) for x, n in ((sparse, GRAM), (small, SMALL_GRAM)) if x]
         self.first, self.tables, self.walks = [], [], []
+        self.bits_seen = max(20, int(16 * len(at)).bit_length())
         for r in range(repeats):
             code = self._code(flat, at, r, 0, SAMPLES)
-            seen = np.zeros(1 << 20, bool)
-            seen[self._slot(code & np.uint64(0xFFFFFFFF))] = True
+            seen = np.zeros(1 << self.bits_seen, bool)
+            seen[self._slot(code & np.uint64(0xFFFFFFFF), self.bits_seen)] = True
             order = np.argsort(code, kind="stable")
             self.first.append(seen)
             walk, stood = self._walk(flat, at, r)
@@ -104,21 +117,18 @@ class Items:
         own = np.repeat(np.array([k for k, _ in picked], np.int64), [len(at) for _, at in picked])
         return own, np.concatenate([np.zeros(0, np.int64), *(at for _, at in picked)])
 
-    def _table(self, flat: np.ndarray, sparse: list[tuple[int, np.ndarray]]) -> None:
-        """The grams of items that are anchored at every byte, sorted, with their items and offsets."""
-        own, offset = self._anchors(sparse)
-        pos = self.begin[own] + offset
-        gram = np.zeros(len(pos), np.uint64)
-        for i in range(GRAM):
-            gram |= flat[pos + i].astype(np.uint64) << np.uint64(8 * i)
+    def _table(self, flat: np.ndarray, tied: list[tuple[int, np.ndarray]], n: int) -> tuple:
+        """The grams of items that are tied at every byte, sorted, with their items and offsets, and a set of slots to look at first."""
+        own, offset = self._anchors(tied)
+        gram = _grams(flat, n)[self.begin[own] + offset]
         order = np.argsort(gram, kind="stable")
-        self.gram, self.gram_own, self.gram_offset = gram[order], own[order].astype(np.int32), offset[order].astype(np.int32)
-        self.gram_bits = max(20, int(8 * len(gram)).bit_length())
-        self.gram_seen = np.zeros(1 << self.gram_bits if len(gram) else 0, bool)
-        self.gram_seen[self._slot(gram, self.gram_bits)] = True
+        bits = max(20, int(8 * len(gram)).bit_length())
+        seen = np.zeros(1 << bits, bool)
+        seen[self._slot(gram, bits)] = True
+        return n, gram[order], own[order].astype(np.int32), offset[order].astype(np.int32), bits, seen
 
     @staticmethod
-    def _slot(code: np.ndarray, bits: int = 20) -> np.ndarray:
+    def _slot(code: np.ndarray, bits: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -153,7 +163,7 @@ class Items:
         at = at[at + STEPS <= ends] if len(self.own) else at[:0]
         for r in range(len(self.tables)):
             code = self._code(data, at, r, 0, 4)
-            on = np.flatnonzero(self.first[r][self._slot(code)])
+            on = np.flatnonzero(self.first[r][self._slot(code, self.bits_seen)])
             if not len(on):
                 continue
             pos, step, code = self._state
@@ -170,21 +180,19 @@ class Items:
                 out.append(np.stack([at[on][k] - self.offset[anchor], self.own[anchor]], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
-
-    def gram_candidates(self, data: np.ndarray, off: np.ndarray):
-        """(row, window start, item) of windows that share a gram with an item anchored at every byte, a few at a time."""
-        if not len(self.gram):
-            return
-        gram = _grams(data[: int(off[-1])])
-        on = np.flatnonzero(self.gram_seen[self._slot(gram, self.gram_bits)])
-        lo, hi = np.searchsorted(self.gram, gram[on], "left"), np.searchsorted(self.gram, gram[on], "right")
+    def gram_candidates(self, data: np.ndarray, off: np.ndarray, tied: tuple):
+        """(row, window start, item) of windows that share a gram with an item tied at every byte, a few at a time."""
+        width, grams, owners, offsets, bits, seen = tied
+        gram = _grams(data, width)[: max(0, int(off[-1]) - width + 1)]
+        on = np.flatnonzero(seen[self._slot(gram, bits)])
+        lo, hi = np.searchsorted(grams, gram[on], "left"), np.searchsorted(grams, gram[on], "right")
         on, lo, n = on[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         total, a = np.cumsum(n), 0
         while a < len(on):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HELD, "right")))
             pos, m = np.repeat(on[a:b], n[a:b]), n[a:b]
             seed = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            k, offset = self.gram_own[seed].astype(np.int64), self.gram_offset[seed].astype(np.int64)
+            k, offset = owners[seed].astype(np.int64), offsets[seed].astype(np.int64)
             row, w = np.searchsorted(off, pos, "right") - 1, pos - offset
             keep = np.ones(len(k), bool)
             long = np.flatnonzero(self.size[k] > WORD)
@@ -265,14 +273,14 @@ class Search:
     def hits(self, data: np.ndarray, off: np.ndarray):
         """(row, item, start, edits) for the rows of one chunk."""
         it = self.items
-        plain = np.r_[PLAIN[data], np.zeros(LONG + 3, np.uint8)]
-        start, _, count = words(plain[: len(data)], off)
-        ends = np.repeat(off[1:], count)
+        plain = np.r_[PLAIN[data], np.zeros(LONG + 8, np.uint8)]
+        start = anchors_of(plain[: len(data) + 2]) if len(it.own) else np.zeros(0, np.int64)
+        ends = off[np.searchsorted(off, start, "right")] if len(start) else start
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         sized, most_ = it.size, np.array(it.most, np.int64)
         others = []
-        for row, w, k in it.gram_candidates(plain, off):
+        for row, w, k in (x for tied in it.grams for x in it.gram_candidates(plain, off, tied)):
             short = sized[k] <= WORD
             others += zip(row[~short].tolist(), w[~short].tolist(), k[~short].tolist())
             row, w, k = row[short], w[short], k[short]
@@ -341,42 +349,55 @@ def blocks(benchmark: DataFrame, size: int = BLOCK):
         yield now
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, edits: float, repeats: int, one):
+    """one(rows, items) for each block of items, given the result before it; results of all blocks but a single one are written to the shared folder."""
+    spark = docs.sparkSession
+    waiting = blocks(benchmark)
+    rows, k = next(waiting, None), 0
+    while rows:
+        after = next(waiting, None)
+        sent = spark.sparkContext.broadcast(Items(rows, repeats, edits))
+        got = one(sent)
+        if k or after:
+            path = shared_dir(spark)
+            got.write.parquet(path)
+            forget_at_exit(spark, path)
+            sent.destroy()
+            got = spark.read.schema(got.schema).parquet(path)
+        yield got
+        rows, k = after, k + 1
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, item_id, start, edits, item_bytes): a row for each document and item it holds; start in bytes, edits the fewest."""
-    spark = docs.sparkSession
+    given = docs.select("doc_id", "text")
     out = None
-    for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Items(rows, repeats, edits))
-        got = docs.select("doc_id", "text").mapInArrow(_scan(sent), _HIT)
+    for got in _passes(docs, benchmark, edits, repeats, lambda sent: given.mapInArrow(_scan(sent), _HIT)):
         out = got if out is None else out.union(got)
     if out is None:
-        return spark.createDataFrame([], _HIT)
+        return docs.sparkSession.createDataFrame([], _HIT)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "item_bytes")).alias("m")).select("doc_id", "item_id", "m.start", "m.edits", "m.item_bytes")
 
 
-def _leaking(items):
+def _clean(items, text: int):
     def rows(batches):
         search = Search(items.value)
         for b in batches:
-            data, off = utf8(b.column(1))
-            docs = b.column(0)
+            data, off = utf8(b.column(text))
             for a, z in runs(off):
-                hit = sorted({r + a for r, *_ in search.hits(data[off[a] : off[z]], off[a : z + 1] - off[a])})
-                if hit:
-                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(hit)), pa.array([hashlib.md5(data[off[r] : off[r + 1]]).hexdigest() for r in hit])], ["_id", "_md5"])
+                keep = np.ones(z - a, bool)
+                keep[[r for r, *_ in search.hits(data[off[a] : off[z]], off[a : z + 1] - off[a])]] = False
+                yield b.slice(a, z - a).filter(pa.array(keep))
 
     return rows
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, repeats: int = REPEATS) -> DataFrame:
-    """The rows whose text holds no item. What is joined is the id and the text's md5 of each that does."""
-    spark = docs.sparkSession
-    bad = spark.createDataFrame([], "_id long, _md5 string")
-    for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Items(rows, repeats, edits))
-        bad = bad.union(docs.select("doc_id", "text").mapInArrow(_leaking(sent), "_id long, _md5 string"))
-    bad = bad.distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.md5(docs["text"]) == bad["_md5"]), "left_anti")
+    """The rows whose text holds no item; they go where they are read, so nothing is exchanged or joined."""
+    left = [docs]
+    for got in _passes(docs, benchmark, edits, repeats, lambda sent: left[-1].mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)):
+        left.append(got)
+    return left[-1]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
