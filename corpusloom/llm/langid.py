@@ -191,19 +191,32 @@ def _scored(sent, names: list[str]):
     return rows
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The `keep` columns with lang_pred and score, which take the place of columns of these names."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    if model is None:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+def _told(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, Column, Column]:
+    """The `keep` columns and internal ones, and the prediction (null for und) and score as columns of these."""
     none = F.lit(float("-inf"))
     given = docs.select(*keep, F.col("text").alias("__langid_text"), F.lit(None).cast("string").alias("__langid_name"), none.alias("__langid_best"), none.alias("__langid_sum"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-3])
     for block in model.blocks:
         given = given.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(block), given.columns), f"{schema}, {_STATE}")
     name = F.col("__langid_name")
-    score = F.when(name.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("__langid_best") - F.col("__langid_sum"))))
-    return given.select(*keep, F.coalesce(name, F.lit(UND)).alias("lang_pred"), score.alias("score"))
+    return given, name, F.when(name.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("__langid_best") - F.col("__langid_sum"))))
+
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The `keep` columns with lang_pred and score, which take the place of columns of these names."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    if model is None:
+        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    told, name, score = _told(docs, model, keep)
+    return told.select(*keep, F.coalesce(name, F.lit(UND)).alias("lang_pred"), score.alias("score"))
+
+
+def with_known_language(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows whose prediction is a language at a score of `least` or more; their columns as they were, whatever their names."""
+    if model is None:
+        return docs.limit(0)
+    told, name, score = _told(docs, model, docs.columns)
+    return told.filter(name.isNotNull() & (score >= least)).select(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,10 +19,12 @@ square of the members that are not.
 
 Components are found by repeated minimum labels with shortcuts, checkpointed to the shared folder.
 
-Defined cases: a document without words has an empty set, links with nothing and is kept; fewer words than a shingle are
-one shingle; a null doc_id is treated as the least id; in near_duplicates, rows that repeat a doc_id are one node of the graph, with the links
-of each, and each row is returned with the id's component; without_near_duplicates, which drops rows, has a node for each (doc_id, text), so that
-no text goes for another one's links; an empty table gives none.
+Defined cases: a document without words (null, empty, blank) has an empty set, links with nothing and is kept; fewer words than a shingle are
+one shingle; very long texts are taken whole. In near_duplicates rows that repeat a doc_id are one node of the graph, with the links of each, and each row is
+returned with the id's component; a row with a null doc_id is a node of its own (with those of the same text), its component_id is the least id that
+it reaches, null if there is none, and it is kept only if there is none and it has the component's least hash. without_near_duplicates, which drops rows, has a
+node for each (doc_id, text), so that no text goes for another one's links; the one with the least doc_id stays (null before all), and of rows that repeat both
+doc_id and text one stays, unless the text has no words. An empty table gives none. Columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from corpusloom.session import table
 K, SIGMAS, SHORT, GROUP = 64, 5.2, 16, 512
 #: Members of a large group that all others are held against first, and tasks that a large group is dealt to then.
 PIVOTS, SALTS = 4, 16
+#: Parts of a group of equal sets.
+COPY_SALTS = 64
 #: Columns of an incidence matrix held at once; ids (8 bytes each) that may be broadcast.
 WIDTH, MOST_SENT = 4096, 2_000_000
 _A = np.random.default_rng(7).integers(1, 1 << 62, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -353,14 +357,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
-    got, labels = _linked(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text"), n, percent)
-    out = got.select("doc_id", "n").join(labels, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
-    )
-    null = F.lit(-(1 << 63))
-    return out.select(
-        F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component_id", null).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept")
-    )
+    docs = docs.select("doc_id", "text")
+    if docs.filter("doc_id IS NULL").isEmpty():
+        got, labels = _linked(docs, n, percent)
+        out = got.select("doc_id", "n").join(labels, "doc_id", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
+        )
+        return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # nodes are hashes of the ids, or of the texts where there is none
+    node = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("null id"), "text")).otherwise(F.xxhash64("doc_id"))
+    got, labels = _linked(docs.select(node.alias("doc_id"), "text"), n, percent)
+    names = staged(docs.select(node.alias("node"), F.col("doc_id").alias("own")).distinct())
+    labels = labels.select(F.col("doc_id").alias("node"), "label")
+    first = names.join(labels, "node").groupBy("label").agg(F.min("own").alias("component_id"))
+    out = got.select(F.col("doc_id").alias("node"), F.col("n").alias("n_shingles")).join(names, "node")
+    out = out.join(labels, "node", "left").join(first, "label", "left")
+    alone = F.col("own").isNull() & F.col("component_id").isNull() & ((F.col("label") == F.col("node")) | F.col("label").isNull())
+    component = F.coalesce("component_id", "own")
+    return out.select(F.col("own").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("own") == component, alone).alias("kept"))
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -368,9 +382,12 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     t = least_matches(percent / 100)
     got = staged(docs.select("doc_id", "text").mapInArrow(_per_doc(n, K - t + 1), _DOC))
     full = got.filter("n > 0")
-    # one representative for each distinct set
-    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    same = full.select("doc_id", "h1", "h2").join(reps.filter("rows > 1"), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    # one representative for each distinct set, met by way of up to COPY_SALTS others, so that many copies are not dealt to one task
+    salted = full.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).alias("salt"))
+    parts = salted.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("part"), F.count("*").alias("rows"))
+    reps = parts.groupBy("h1", "h2").agg(F.min("part").alias("rep"), F.sum("rows").alias("rows"))
+    same = salted.join(parts.filter("rows > 1"), ["h1", "h2", "salt"]).select(F.col("part").alias("a"), F.col("doc_id").alias("b"))
+    same = same.union(parts.select("h1", "h2", "part").join(reps.filter("rows > 1"), ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("part").alias("b"))).filter("a <> b")
     own = full.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     own = own.select("doc_id", "n", "sig", F.explode("keys").alias("key"))
     post = _dealt(own.select("key", "doc_id", "n", "sig"))
@@ -390,14 +407,22 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> D
     """The rows whose doc_id is the least of their component, null before all; columns as they were.
 
     Nodes are 64-bit hashes of (doc_id, text), so of rows that share a doc_id each goes or stays by its own text (of two that are linked
-    with one another, one stays); rows that repeat both stay or go together.
+    with one another, one stays); of rows that repeat both, one stays.
     """
     node = F.xxhash64("doc_id", "text")
-    _, labels = _linked(docs.select(node.alias("doc_id"), "text"), n, percent)
+    got, labels = _linked(docs.select(node.alias("doc_id"), "text"), n, percent)
     members = docs.select(node.alias("node"), F.col("doc_id").alias("own")).join(labels.select(F.col("doc_id").alias("node"), "label"), "node").distinct()
     first = members.groupBy("label").agg(F.min(F.struct("own", "node")).getField("node").alias("node"))
     gone = labels.select(F.col("doc_id").alias("_gone")).join(first.select(F.col("node").alias("_gone")), "_gone", "left_anti")
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    again = got.filter("n > 0").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("_again")
+    again = staged(again.join(gone, again["_again"] == gone["_gone"], "left_anti"))
+    if again.isEmpty():
+        return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    gone = staged(gone.union(again))
+    single = docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    # copies meet in a partial aggregation
+    copies = docs.select(node.alias("_node"), F.struct(*[docs[c] for c in docs.columns]).alias("_row")).join(again, F.col("_node") == F.col("_again"), "left_semi")
+    return single.union(copies.groupBy("_node").agg(F.first("_row").alias("_row")).select("_row.*"))
 
 
 def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
