@@ -6,20 +6,20 @@
 4. decontaminate: documents that hold a benchmark passage, up to edits, go; rows that share a doc_id are decided each by its own text.
 5. encode: byte-level BPE ids of each text (n_tokens, ids), and whether they decode to it (exact).
 
-Null doc_ids, texts and languages go through every stage by the operators' own rules; stage 1 drops null texts, and stage 3 keeps or drops
-rows that repeat both doc_id and text together. Stages are written as Parquet in the shared folder and read again.
+Stages are written as Parquet in the shared folder and read again. Defined cases: all columns of the input stay, whatever their names, but that the last
+stage puts its own in the place of n_tokens, ids and exact, and that n_chars is counted anew where lines went. Stage 1 drops null, empty and letterless texts; without any
+labelled row it can tell no language and drops all. A null lang or source stays null. Rows with a null doc_id, and rows that repeat one, are rows of their own: each stage decides by their
+text (in stage 3 a null doc_id is before all others); of rows that repeat both doc_id and text, stage 3 keeps one. Very long texts go through whole. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontaminate, langid, line_dedup, near_dedup
 from corpusloom.llm.common import staged
 from corpusloom.session import table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least posterior of the predicted language.
 SURE = 0.5
 #: No SQL: naive Bayes and BPE are not expressed in it; tests hold the stages against brute force.
@@ -28,21 +28,19 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled rows (a bounded sample of them) and drops rejected documents; lang is kept as it is."""
-    model = langid.train(docs.select("doc_id", "text", "lang"))
-    told = langid.predict(docs, model, list(COLUMNS))
-    return told.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select(*COLUMNS)
+    return langid.with_known_language(docs, langid.train(docs.select("text", "lang")), SURE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(*COLUMNS)
+    return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.without_near_duplicates(docs, 5, 80).select(*COLUMNS)
+    return near_dedup.without_near_duplicates(docs, 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
