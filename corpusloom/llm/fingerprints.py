@@ -5,11 +5,16 @@ borrows from the first full bin in its own pseudo-random order of all bins (opti
 the low byte of each bin's hash, and likeness corrects the share of equal bytes for chance (1 in 256).
 
 Per document this is one expression over arrays: words, word hashes, shingle hashes, a sort, and the first hash of
-each bin, so there is no shuffle. Words are runs of other than ASCII white space, in lower case.
+each bin, so a fingerprint needs no shuffle. Words are runs of other than ASCII white space, in lower case.
+
+The document that follows in ascending doc_id is found on rows of keys alone (doc_id and a 128-bit text hash), dealt by sampled ranges of as many rows
+(`RANGE`) whatever the table's size, so no window holds a text. What a document needs of the next one (its fingerprint, and its beginning) is then fetched by that
+key, and meets the document by its own; both joins read one exchange of the texts.
 
 Defined cases: a text of one to four words is one shingle; null, empty and blank texts have the shingle of the empty
-string, so they are alike among themselves and to nothing else; equal texts have equal fingerprints; rows that repeat a doc_id
-follow one another, ordered by a hash of their text; a null doc_id comes first in the order; an empty table gives none.
+string, so they are alike among themselves and to nothing else; equal texts have equal fingerprints; very long texts are taken whole. Rows that repeat a doc_id
+follow one another, ordered by a hash of their text; those that repeat the text too are one document with one result for each row; a null doc_id comes first in the
+order (the least long counts as null); a single document follows itself; an empty table gives none. Columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -18,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corpusloom.llm.common import NO_ID, row_key, spread, staged
 from corpusloom.session import table
 
-#: Words in a shingle; log2 of the bins; ranges of doc_id (quantile ranges and equal parts of each); probes made one by one.
-WORDS, BIN_BITS, QUANTILES, PARTS, TRIES = 5, 7, 64, 16, 6
+#: Words in a shingle; log2 of the bins; probes made one by one; rows of keys in a range.
+WORDS, BIN_BITS, TRIES, RANGE = 5, 7, 6, 200_000
+KEY = ["k0", "k1", "k2"]
 BINS = 1 << BIN_BITS
 
 
@@ -41,7 +48,7 @@ def _ints(values, kind: str = "") -> str:
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`, an array of the low byte of each bin, for a text column. The steps are columns of their own, so that none is computed twice."""
+    """Adds `out`, an array of the low byte of each bin (less 128), for a text column. The steps are columns of their own, so that none is computed twice."""
     w, h, s = (f"_{out}_{x}" for x in "whs")
     shift, low = 64 - BIN_BITS, (1 << 64 - BIN_BITS) - 1
     # each bin gets its greatest value as a mark, so that after sorting every bin has a first element; the mark says it is empty
@@ -61,7 +68,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
         w: _words(text),
         h: f"sort_array(concat({_shingles(w)}, {marks}))",
         s: f"filter({h}, (x, i) -> i = 0 OR shiftright(x, {shift}) <> shiftright({h}[greatest(i - 1, 0)], {shift}))",
-        out: f"transform({s}, (x, j) -> cast(CASE WHEN {full('x')} THEN x {tries} ELSE {rest} END & 255 AS int))",
+        out: f"transform({s}, (x, j) -> cast((CASE WHEN {full('x')} THEN x {tries} ELSE {rest} END & 255) - 128 AS tinyint))",
     }
     for name, sql in steps.items():
         df = df.withColumn(name, F.expr(sql))
@@ -71,7 +78,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
 def packed(signature: str) -> Column:
     """A signature's bytes as a hex string."""
     digits = "array(" + ", ".join(f"'{k:02x}'" for k in range(256)) + ")"
-    return F.expr(f"array_join(transform({signature}, x -> {digits}[x]), '')")
+    return F.expr(f"array_join(transform({signature}, x -> {digits}[x + 128]), '')")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -79,54 +86,35 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"greatest(0D, (size(filter({a}, (x, i) -> x = {b}[i])) / {BINS}D - 1 / 256D) / (1 - 1 / 256D))")
 
 
-def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> DataFrame:
-    """Adds next_<column> of the row that follows in ascending doc_id; the first row follows the last.
-
-    Of docs only doc_id and text are used; `prepare` adds other columns to the rows once they are picked.
-
-    Rows are dealt by ranges of doc_id: quantiles, each cut into equal parts, so that any number of ids spreads. The first row
-    of each range is also put at the end of the range before it; so ranges need nothing from one another. What
-    the driver gets is the quantiles and one number for each range.
-    """
-    docs = docs.select("doc_id", "text")
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or [0]))
-    spans = list(zip(cuts, cuts[1:] + [cuts[-1] + 1]))
-    place = "CASE WHEN doc_id IS NULL THEN -1"
-    for k, (lo, hi) in reversed(list(enumerate(spans))):
-        step = max(1, -(-(hi - lo) // PARTS))
-        place += f" WHEN doc_id >= {lo}L THEN {k * PARTS} + least({PARTS - 1}, (doc_id - {lo}L) div {step}L)"
-    place = f"cast({place} ELSE 0 END AS int)"
-    dealt = docs.withColumn("_range", F.expr(place)).withColumn("_tie", F.xxhash64("text"))
-    first = ids.withColumn("_range", F.expr(place)).groupBy("_range").agg(F.min("doc_id").alias("doc_id")).collect()
-    order = sorted((r["_range"], r["doc_id"]) for r in first)
-    if not order:
-        return prepare(docs).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    ends = docs.sparkSession.createDataFrame(
-        [(i, r, order[k - 1][0]) for k, (r, i) in enumerate(order)], "doc_id long, _range int, _to int"
-    )
-    # at most QUANTILES * PARTS + 1 rows, so this side may be broadcast
-    ends = ends.withColumnRenamed("doc_id", "_first").withColumnRenamed("_range", "_of")
-    heads = dealt.join(F.broadcast(ends), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    heads = heads.withColumn("_range", F.col("_to")).withColumn("_head", F.lit(1)).drop("_first", "_of", "_to")
-    w = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").asc_nulls_first(), "_tie")
-    both = prepare(dealt.withColumn("_head", F.lit(0)).unionByName(heads))
-    both = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return both.filter("_head = 0").drop("_range", "_tie", "_head")
+def following(docs: DataFrame) -> DataFrame:
+    """(k0, k1, k2, n0, n1, n2, chars): the key of each distinct (doc_id, text), that of the one that follows (the first follows the last), and its length."""
+    keys = staged(docs.select(*row_key(*KEY), F.length("text").cast("long").alias("chars")).distinct())
+    ranges = max(spread(docs.sparkSession), keys.count() // RANGE)
+    dealt = staged(keys.repartitionByRange(ranges, *KEY).withColumn("_range", F.spark_partition_id()))
+    # the first key of each range also ends the range before it, so ranges need nothing from one another: a row for each range
+    order = Window.orderBy("_range")
+    heads = dealt.groupBy("_range").agg(F.min(F.struct(*KEY)).alias("_first"))
+    heads = heads.select("_first.*", F.coalesce(F.lag("_range").over(order), F.max("_range").over(Window.partitionBy())).alias("_range"))
+    both = dealt.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)).withColumn("chars", F.lit(0).cast("long")))
+    own = Window.partitionBy("_range").orderBy("_head", *KEY)
+    return both.select("*", *[F.lead(k).over(own).alias(n) for k, n in zip(KEY, ("n0", "n1", "n2"))]).filter("_head = 0").drop("_range", "_head")
 
 
-def edited(text: Column, following: Column) -> Column:
-    """The last floor(n / 4) code points replaced by the first as many of the next text."""
-    t, f = F.coalesce(text, F.lit("")), F.coalesce(following, F.lit(""))
-    gone = F.floor(F.length(t) / 4).cast("int")
-    return F.concat(F.left(t, F.length(t) - gone), F.left(f, gone))
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) to (k0, doc_id, text, own, head, next_own): fingerprint, the next document's first floor(n / 4) code points and its fingerprint."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = with_signature(docs.select(*row_key(*KEY), "text"), "text", "own").select(*KEY, "text", "own")
+    asked = following(docs).select(F.struct(*KEY).alias("asks"), "n0", "n1", "n2", F.floor(F.col("chars") / 4).cast("int").alias("need"))
+    got = texts.join(asked, [F.col(k) == F.col(n) for k, n in zip(KEY, ("n0", "n1", "n2"))])
+    # equal rows answer alike
+    got = got.select("asks.*", F.expr("left(text, need)").alias("head"), F.col("own").alias("next_own")).groupBy(*KEY).agg(F.first("head").alias("head"), F.first("next_own").alias("next_own"))
+    return texts.join(got, KEY).select(F.nullif("k0", F.lit(NO_ID)).alias("doc_id"), "text", "own", "head", "next_own")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs, ["text", "own"], lambda df: with_signature(df, "text", "own"))
-    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "own", "next_own")
+    pairs = with_next(table(spark, sf_dir, "documents"))
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) AS int))"), "head")
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     return with_signature(pairs, "edited", "other").select(
         "doc_id",
         "n_chars",

@@ -428,28 +428,6 @@ def test_warc(spark, tmp_path):
 # 6: fingerprints
 
 
-def prints(spark, rows):
-    docs = frame(spark, rows).withColumn("text", F.coalesce("text", F.lit("")))
-    both = fingerprints.with_next(odd(docs), ["text", "own"], lambda d: fingerprints.with_signature(d, "text", "own"))
-    return both.select("doc_id", "text", "next_text", fingerprints.packed("own").alias("f"), fingerprints.likeness("own", "next_own").alias("near")).collect()
-
-
-def test_fingerprints(spark):
-    rng = random.Random(1)
-    rows = [(i * 37 % 101, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 300)))) for i in range(101)]
-    got = {r["doc_id"]: r for r in prints(spark, rows)}
-    texts = dict(rows)
-    order = sorted(texts)
-    assert all(got[d]["next_text"] == texts[order[(i + 1) % len(order)]] for i, d in enumerate(order))
-    edge = prints(spark, EDGES)
-    by = {}
-    for r in edge:
-        by.setdefault(r["text"], set()).add(r["f"])
-    assert len(edge) == len(EDGES) and all(len(x) == 1 for x in by.values()) and all(len(r["f"]) == 2 * fingerprints.BINS and 0 <= r["near"] <= 1 for r in edge)
-    assert by[""] == by[" \t\n"] and by[""] != by["one two"]
-    assert prints(spark, []) == [] and prints(spark, [(7, "a b")])[0]["near"] == 1
-
-
 def test_likeness_follows_resemblance(spark):
     rng = random.Random(2)
     rows, want = [], []
