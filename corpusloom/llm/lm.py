@@ -1,20 +1,25 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | context) = P(class | context) * P(token | class). The class is a hash of the token's last two bytes (the end token
-has its own). P(class | context) is a softmax over hashed features of the four tokens before: the last one, the one before
-it (skip), both as a pair, and pairs of their classes. P(token | class) has the closed form of a softmax
-with one weight a token: counts over the training documents, plus one, with one more share in each class for all unseen tokens. So the
+P(token | context) = P(class | context) * P(sub | class, context) * P(token | sub). The class is a hash of the token's last two bytes (the
+end token has its own), the sub-class within it a hash of the whole token. Both are softmaxes over hashed n-gram and skip features: for the class the token before,
+the one before that (skip), and both as a pair; for the sub-class each of these two tokens together with the class. P(token | sub) has the closed form of a softmax
+with one weight a token: counts over the training documents, plus one, with one more share in each sub-class for all unseen tokens. So the
 probabilities of all known tokens and the unseen shares sum to one.
 
 Plan: text is cut into blocks of about `BLOCK` bytes, and a block keeps its tokens as numbers in its own sorted list of
 distinct 64-bit token hashes. Token counts over the corpus are summed by ranges of the hash: a block sends one packed
 row for each range, and gets one packed row of counts back. As a token is at most once in a block's list, a frequent token is
 no heavier than others. Ranges are as many as the lists need to stay small, so memory does not grow with the corpus.
-Training runs minibatch updates over all training tokens in each partition and averages the partitions' weights, chunk by
-chunk, in two rounds over two halves of the blocks; only the weights (about 4 MB) are sent to the driver and broadcast.
+
+Training goes once over all training tokens, in `ROUNDS` rounds; a hash of doc_id and text says which documents belong to a round. A round sums, for each weight, the times that
+its feature was seen with its class and what the model expected (the two sides of the gradient); each weight then takes a step whose size is the inverse of these. Expectations are
+summed as whole numbers (units of 1 / `ONE`), so the scores are the same, but for the rounding of single precision, however rows are dealt to files and tasks. Sums go
+up a tree of `FAN` children for each piece of the weights; the driver gets the sums, and sends the weights (about 4 MB, of fixed size) to the next round. What grows with the
+corpus is the counts; the context part has a fixed number of weights.
 
 Defined cases: null text is empty and has the end token only; without training documents all weights are zero and nothing is known; a
-null doc_id is a training document; repeated rows count and are scored each.
+null doc_id is a training document; repeated rows count and are scored each; very long texts are scored whole; equal tokens of any length are one; an empty table
+gives an empty result. Columns other than doc_id, text and held_out may have any name.
 """
 
 from __future__ import annotations
@@ -27,26 +32,31 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER, Rolling, mix, runs, spread, staged, utf8, words
 from corpusloom.session import table
 
-#: Classes (the last one is the end token's); log2 of the buckets of one token and of a pair; bytes of text in a block; tokens of an update.
-CLASSES, BITS, PAIR_BITS, BLOCK, BATCH = 32, 13, 14, 2 << 20, 1 << 14
-#: Step size of the updates; weights in a chunk; packed bytes that a range of hashes may gather.
-RATE, PIECE, RANGE_BYTES = 0.15, 4096, 16 << 20
+#: Classes (the last one is the end token's); sub-classes of each; bytes of text in a block; tokens taken at once.
+CLASSES, SUBS, BLOCK, BATCH = 32, 32, 2 << 20, 1 << 15
+#: Log2 of the buckets of a token, of a pair, and of a token with a class.
+BITS, PAIR_BITS, SUB_BITS = 12, 13, 13
+#: Rounds of training; step size; what is added to the seen and the expected times of a weight; units of expectation.
+ROUNDS, RATE, DAMP, ONE = 4, 0.7, 20.0, 1 << 18
+#: Weights in a piece; sums of a piece that are summed at once; bytes of blocks that a training task takes at least; packed bytes that a range of hashes may gather.
+PIECE, FAN, TASK_BYTES, RANGE_BYTES = 1 << 14, 32, 256 << 20, 16 << 20
 END = np.uint64(0x1F83D9ABFB41BD6B)
-_SIZES = (1 << BITS, 1 << BITS, 1 << PAIR_BITS, (CLASSES + 1) ** 2, (CLASSES + 1) ** 2)
-_STARTS = np.r_[0, np.cumsum(_SIZES)]
-ROWS = int(_STARTS[-1]) + 1
+#: Where each feature's columns of the weights begin; the last ones are those of no feature. Weights are classes x features.
+FIRST = np.cumsum([0, 1 << BITS, 1 << BITS, 1 << PAIR_BITS])
+SECOND = np.cumsum([0, 1 << SUB_BITS, 1 << SUB_BITS])
+SHAPES = ((CLASSES, int(FIRST[-1]) + 1), (SUBS, int(SECOND[-1]) + CLASSES))
 
 
 def tokenise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with each row's end token, their classes, and tokens in each row."""
+    """Token hashes with each row's end token, their leaves (class * SUBS + sub-class), and tokens in each row."""
     low = LOWER[data]
     start, end, count = words(low, off)
     h = Rolling(low).of(start, end) if len(start) else np.zeros(0, np.uint64)
     last = low[end - 1].astype(np.uint64) if len(end) else np.zeros(0, np.uint64)
     before = np.where(end - start > 1, low[np.maximum(end - 2, 0)], 0).astype(np.uint64) if len(end) else last
-    cls = (mix(last | before << np.uint64(8)) % np.uint64(CLASSES - 1)).astype(np.uint8)
+    leaf = (mix(last | before << np.uint64(8)) % np.uint64(CLASSES - 1) * np.uint64(SUBS) + (mix(h) >> np.uint64(40)) % np.uint64(SUBS)).astype(np.uint16)
     at = np.cumsum(count)
-    return np.insert(h, at, END), np.insert(cls, at, CLASSES - 1), count + 1
+    return np.insert(h, at, END), np.insert(leaf, at, (CLASSES - 1) * SUBS), count + 1
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -61,17 +71,17 @@ def _unzip(x, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer() if hasattr(x, "as_buffer") else x), kind)
 
 
-_BLOCK = "block long, doc_ids array<long>, held binary, sizes binary, stream binary, hashes binary, train binary, classes binary, distinct long"
+_BLOCK = "block long, doc_ids array<long>, held binary, rounds binary, sizes binary, stream binary, hashes binary, train binary, classes binary, distinct long"
 
 
 def _blocks(batches):
-    """(doc_id, text, held) to blocks."""
+    """(doc_id, text, held, round) to blocks."""
     from pyspark import TaskContext
 
     k = TaskContext.get().partitionId() << 32
     for b in batches:
         data, off = utf8(b.column(1))
-        held = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        held, turn = b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(3).to_numpy().astype(np.uint8)
         for a, z in runs(off, BLOCK):
             h, cls, size = tokenise(data[off[a] : off[z]], off[a : z + 1] - off[a])
             known, first, stream = np.unique(h, return_index=True, return_inverse=True)
@@ -82,6 +92,7 @@ def _blocks(batches):
                     pa.array([k], pa.int64()),
                     pa.array([ids.to_pylist()], pa.list_(pa.int64())),
                     pa.array([held[a:z].tobytes()], pa.binary()),
+                    pa.array([turn[a:z].tobytes()], pa.binary()),
                     pa.array([size.astype(np.int64).tobytes()], pa.binary()),
                     pa.array([_zip(stream.astype(np.uint32))], pa.binary()),
                     pa.array([known.tobytes()], pa.binary()),
@@ -105,7 +116,7 @@ def _requests(ranges: int):
     def rows(batches):
         for b in batches:
             for block, hashes, train, cls in zip(*(b.column(i) for i in range(4))):
-                h, t, c = np.frombuffer(hashes.as_buffer(), np.uint64), _unzip(train, np.int64), np.frombuffer(cls.as_buffer(), np.uint8)
+                h, t, c = np.frombuffer(hashes.as_buffer(), np.uint64), _unzip(train, np.int64), np.frombuffer(cls.as_buffer(), np.uint16)
                 cut = _cuts(h, ranges)
                 on = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
@@ -126,15 +137,15 @@ _ANSWER = "block long, range long, counts binary, class_n binary, class_v binary
 
 
 def _answer(rows: list) -> pa.RecordBatch:
-    """All requests of one range to one answer for each block, and one row (block -1) of class totals."""
-    h, t, c = (np.concatenate(x) for x in zip(*((np.frombuffer(r[2], np.uint64), _unzip(r[3], np.int64), np.frombuffer(r[4], np.uint8)) for r in rows)))
+    """All requests of one range to one answer for each block, and one row (block -1) of the leaves' totals."""
+    h, t, c = (np.concatenate(x) for x in zip(*((np.frombuffer(r[2], np.uint64), _unzip(r[3], np.int64), np.frombuffer(r[4], np.uint16)) for r in rows)))
     known, first, at = np.unique(h, return_index=True, return_inverse=True)
     total = np.bincount(at, t, len(known)).astype(np.int64)
     cut = np.r_[0, np.cumsum([len(r[2]) // 8 for r in rows])]
     seen = total > 0
     cls = c[first]
-    n = np.bincount(cls, total, CLASSES).astype(np.int64)
-    v = np.bincount(cls[seen], minlength=CLASSES).astype(np.int64)
+    n = np.bincount(cls, total, CLASSES * SUBS).astype(np.int64)
+    v = np.bincount(cls[seen], minlength=CLASSES * SUBS).astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[1] for r in rows] + [-1], pa.int64()),
@@ -160,105 +171,149 @@ def _answers(batches):
         yield _answer(now)
 
 
-def features(stream_bucket: np.ndarray, cls: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of each token's context features; a place before the text has bucket 0 and a class of its own."""
-    place = np.arange(len(cls)) - np.repeat(np.cumsum(size) - size, size)
+def features(bucket: np.ndarray, leaf: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of each token's features for the class and, given the class, for the sub-class; a place before the text has bucket 0. The last of each is that of no feature."""
+    place = np.arange(len(leaf)) - np.repeat(np.cumsum(size) - size, size)
 
-    def back(x, k, none):
-        out = np.full(len(x), none, np.int64)
-        out[k:] = x[:-k] if k < len(x) else 0
-        out[place < k] = none
+    def back(k):
+        out = np.zeros(len(leaf), np.int64)
+        out[k:] = bucket[:-k] if k < len(leaf) else 0
+        out[place < k] = 0
         return out
 
-    b1, b2 = back(stream_bucket, 1, 0), back(stream_bucket, 2, 0)
-    c1, c2, c3, c4 = (back(cls, k, CLASSES) for k in (1, 2, 3, 4))
+    b1, b2, cls = back(1), back(2), leaf // SUBS
     pair = (b1 * 40503 + b2 * 30011 >> 3) & ((1 << PAIR_BITS) - 1)
-    own = (b1, b2, pair, c1 * (CLASSES + 1) + c2, c3 * (CLASSES + 1) + c4)
-    return [x + s for x, s in zip(own, _STARTS)]
+    with_class = lambda b: (b * 0x9E3779B1 + cls * 0x85EBCA6B >> 7) & ((1 << SUB_BITS) - 1)
+    first = [x + s for x, s in zip((b1, b2, pair), FIRST)] + [np.full(len(leaf), FIRST[-1])]
+    return first, [with_class(b1) + SECOND[0], with_class(b2) + SECOND[1], cls + SECOND[-1]]
 
 
-def _log_softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = w[-1] + w[rows[0]]
-    for r in rows[1:]:
-        z += w[r]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+def _logits(w: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Sums of the features' weights, classes x tokens. Steps are bounded, so they are far from the limits of exp()."""
+    z = np.take(w, columns[0], axis=1)
+    for c in columns[1:]:
+        z += np.take(w, c, axis=1)
     return z
 
 
-def update(w: np.ndarray, sq: np.ndarray, rows: list[np.ndarray], cls: np.ndarray) -> None:
-    """One gradient step with per-weight step sizes (AdaGrad), in place."""
-    g = np.exp(_log_softmax(w, rows))
-    g[np.arange(len(cls)), cls] -= 1
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        s = r[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        step = np.add.reduceat(g[order], first, axis=0)
-        k = s[first]
-        sq[k] += step * step
-        w[k] -= RATE * step / (np.sqrt(sq[k]) + 1.0)
-    step = g.sum(0)
-    sq[-1] += step * step
-    w[-1] -= RATE * step / (np.sqrt(sq[-1]) + 1.0)
+def log_share(w: np.ndarray, columns: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """Log probability of each token's target."""
+    z = _logits(w, columns)
+    return z[target, np.arange(len(target))] - np.log(np.exp(z).sum(0))
+
+
+def add_seen(seen: np.ndarray, columns: list[np.ndarray], target: np.ndarray) -> None:
+    """Adds the times that each feature was seen with each class."""
+    for c in columns:
+        seen += np.bincount(target * seen.shape[1] + c, minlength=seen.size).reshape(seen.shape)
+
+
+def add_expected(w: np.ndarray, expected: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Adds the times that the model expects, in units of 1 / ONE: whole numbers, so sums of doubles are exact."""
+    e = np.exp(_logits(w, columns))
+    p = np.rint(e * (np.float32(ONE) / e.sum(0))).astype(np.float64)
+    for c in columns:
+        low = int(c.min())
+        own, size = c - low, int(c.max()) - low + 1
+        for k in range(len(p)):
+            expected[k, low : low + size] += np.bincount(own, p[k], size)
+
+
+def step(w: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The weights after a step along the gradient, seen less expected times, at a size of the inverse of both for each weight."""
+    e = expected / ONE
+    return (w + RATE * 2 * (seen - e) / (seen + e + DAMP)).astype(np.float32)
+
+
+def start(n_leaf: np.ndarray) -> list[np.ndarray]:
+    """Weights of a model without context: the shares of classes and sub-classes."""
+    n = n_leaf.reshape(CLASSES, SUBS).astype(np.float64) + 0.5
+    w = [np.zeros(x, np.float32) for x in SHAPES]
+    if n_leaf.any():
+        w[0][:, -1] = np.log(n.sum(1) / n.sum())
+        w[1][:, SECOND[-1] :] = np.log(n / n.sum(1, keepdims=True)).T
+    return w
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64) | 1
+    return ((hashes >> np.uint64(24)) % np.uint64((1 << BITS) - 1)).astype(np.int64) + 1
 
 
 def _token_columns(b: pa.RecordBatch, i: int):
-    """held, sizes, classes and buckets of a block's tokens, in text order."""
+    """held, rounds, sizes, leaves and buckets of a block's tokens, in text order, and the tokens' numbers."""
     col = lambda name: b.column(b.schema.names.index(name))[i]
-    held, size = np.frombuffer(col("held").as_buffer(), bool), np.frombuffer(col("sizes").as_buffer(), np.int64)
+    held, turn, size = np.frombuffer(col("held").as_buffer(), bool), np.frombuffer(col("rounds").as_buffer(), np.uint8), np.frombuffer(col("sizes").as_buffer(), np.int64)
     stream = _unzip(col("stream"), np.uint32)
-    return held, size, np.frombuffer(col("classes").as_buffer(), np.uint8)[stream].astype(np.int64), _bucket(np.frombuffer(col("hashes").as_buffer(), np.uint64))[stream], stream
+    return held, turn, size, np.frombuffer(col("classes").as_buffer(), np.uint16)[stream].astype(np.int64), _bucket(np.frombuffer(col("hashes").as_buffer(), np.uint64))[stream], stream
+
+
+_SUMS = "piece long, part int, seen binary, expected binary"
 
 
-def _train(sent):
-    """Updates over a partition's training tokens; gives the weights in chunks, each times the tokens seen."""
+def _times(sent, turn: int):
+    """The sums of a task over the training documents of a round, in pieces; pieces that no feature touched are left out."""
 
     def rows(batches):
-        w = sent.value.copy()
-        sq, seen = np.zeros_like(w), 0
+        from pyspark import TaskContext
+
+        w = sent.value
+        seen, expected = ([np.zeros(x.shape, kind) for x in w] for kind in (np.int64, np.float64))
         for b in batches:
             for i in range(b.num_rows):
-                held, size, cls, bucket, _ = _token_columns(b, i)
-                learn = np.flatnonzero(np.repeat(~held, size))
-                f = features(bucket, cls, size)
-                for a in range(0, len(learn), BATCH):
-                    on = learn[a : a + BATCH]
-                    update(w, sq, [x[on] for x in f], cls[on])
-                seen += len(learn)
-        if seen:
-            flat = w.reshape(-1)
-            parts = range(0, len(flat), PIECE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a // PIECE for a in parts], pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[a : a + PIECE].tobytes() for a in parts], pa.binary())],
-                ["piece", "n", "w"],
-            )
+                held, own, size, leaf, bucket, _ = _token_columns(b, i)
+                on = ~held & (own == turn)
+                mine = np.repeat(on, size)
+                leaf, bucket, size = leaf[mine], bucket[mine], size[on]
+                if not len(leaf):
+                    continue
+                one, two = features(bucket, leaf, size)
+                add_seen(seen[0], one, leaf // SUBS)
+                add_seen(seen[1], two, leaf % SUBS)
+                for a in range(0, len(leaf), BATCH):
+                    add_expected(w[0], expected[0], [x[a : a + BATCH] for x in one])
+                    add_expected(w[1], expected[1], [x[a : a + BATCH] for x in two])
+        s, e = (np.concatenate([x.reshape(-1) for x in v]).astype(np.int64) for v in (seen, expected))
+        parts = [a for a in range(0, len(e), PIECE) if e[a : a + PIECE].any()]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a // PIECE for a in parts], pa.int64()), pa.array([part] * len(parts), pa.int32()), *(pa.array([_zip(x[a : a + PIECE]) for a in parts], pa.binary()) for x in (s, e))],
+            [x.split()[0] for x in _SUMS.split(", ")],
+        )
 
     return rows
 
 
-def _average(key, pdf):
-    import pandas as pd
-
-    n = pdf["n"].to_numpy(np.float64)
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * y for x, y in zip(pdf["w"], n)) / n.sum()
-    return pd.DataFrame({"piece": [key[0]], "w": [total.astype(np.float32).tobytes()]})
+def _total(key, t):
+    """The sum of at most FAN rows of a piece, one after the other."""
+    sums = [sum(_unzip(x, np.int64) for x in t.column(c)) for c in ("seen", "expected")]
+    return pa.table({"piece": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([_zip(x)], pa.binary()) for c, x in zip(("seen", "expected"), sums)}})
 
 
-def fit(blocks: DataFrame) -> np.ndarray:
-    """Weights; features x classes."""
+def fit(blocks: DataFrame, n_leaf: np.ndarray) -> list[np.ndarray]:
+    """Weights for classes and for sub-classes, each classes x features."""
     spark = blocks.sparkSession
-    w = np.zeros((ROWS, CLASSES), np.float32)
-    own = blocks.select("block", "held", "sizes", "stream", "hashes", "classes")
-    for half in (0, 1):
-        got = own.filter(F.pmod(F.xxhash64("block"), F.lit(2)) == half).mapInArrow(_train(spark.sparkContext.broadcast(w)), "piece long, n long, w binary")
-        parts = got.groupBy("piece").applyInPandas(_average, "piece long, w binary").collect()
-        if parts:
-            w = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(parts, key=lambda r: r["piece"])]).reshape(w.shape).copy()
+    w = start(n_leaf)
+    own = blocks.select("held", "rounds", "sizes", "stream", "hashes", "classes")
+    # tasks give sums of a fixed size, so they take many blocks each
+    rows = blocks.count()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, rows * BLOCK // TASK_BYTES)
+    for turn in range(ROUNDS if n_leaf.any() else 0):
+        sent = spark.sparkContext.broadcast(w)
+        sums = own.coalesce(tasks).mapInArrow(_times(sent, turn), _SUMS)
+        left = tasks
+        while left > 1:  # a tree of sums
+            sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("piece", "part").applyInArrow(_total, _SUMS)
+            left = -(-left // FAN)
+        got = sums.collect()
+        flat = [np.concatenate([x.reshape(-1) for x in w]).astype(np.float64), *(np.zeros(sum(x.size for x in w), np.int64) for _ in range(2))]
+        for r in got:
+            at = r["piece"] * PIECE
+            for x, c in zip(flat[1:], ("seen", "expected")):
+                part = _unzip(r[c], np.int64)
+                x[at : at + len(part)] = part
+        new = step(*flat)
+        w = [x.reshape(y.shape) for x, y in zip(np.split(new, [w[0].size]), w)]
+        sent.destroy()
     return w
 
 
@@ -267,20 +322,19 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(sent):
     def rows(batches):
-        w, n_cls, v_cls = sent.value
-        total, kinds = int(n_cls.sum()), int(v_cls.sum())
-        base_room, room = np.log10(total + kinds + 1.0), np.log10(n_cls + v_cls + 1.0)
+        w, n_leaf, v_leaf = sent.value
+        total, kinds = int(n_leaf.sum()), int(v_leaf.sum())
+        base_room, room = np.log10(total + kinds + 1.0), np.log10(n_leaf + v_leaf + 1.0)
         for b in batches:
             for i in range(b.num_rows):
-                held, size, cls, bucket, stream = _token_columns(b, i)
+                held, _, size, leaf, bucket, stream = _token_columns(b, i)
                 parts = sorted(b.column(b.schema.names.index("answers"))[i].as_py(), key=lambda r: r["range"])
                 count = np.concatenate([_unzip(r["counts"], np.int64) for r in parts])[stream]
-                f = features(bucket, cls, size)
-                told = np.empty(len(cls))
-                for a in range(0, len(cls), BATCH):
-                    on = slice(a, a + BATCH)
-                    z = _log_softmax(w, [x[on] for x in f])
-                    told[on] = z[np.arange(len(z)), cls[on]]
+                told = np.empty(len(leaf))
+                one, two = features(bucket, leaf, size)
+                for a in range(0, len(leaf), BATCH):
+                    k = slice(a, a + BATCH)
+                    told[k] = log_share(w[0], [c[k] for c in one], leaf[k] // SUBS) + log_share(w[1], [c[k] for c in two], leaf[k] % SUBS)
                 up = np.log10(count + 1.0)
                 first = np.cumsum(size) - size
                 sums = lambda x: np.add.reduceat(x, first)
@@ -292,7 +346,7 @@ def _score(sent):
                         pa.array(sums((count > 0).astype(np.int64)), pa.int64()),
                         pa.array(np.full(len(size), total), pa.int64()),
                         pa.array(sums(up - base_room), pa.float64()),
-                        pa.array(sums(told / np.log(10) + up - room[cls]), pa.float64()),
+                        pa.array(sums(told / np.log(10) + up - room[leaf]), pa.float64()),
                     ],
                     [x.split()[0] for x in _SCORE.split(", ")],
                 )
@@ -303,17 +357,17 @@ def _score(sent):
 def score(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, held_out) to `_SCORE`: learns from the rows that are not held out and scores all."""
     spark = docs.sparkSession
-    blocks = staged(docs.select("doc_id", "text", F.col("held_out").alias("held")).mapInArrow(_blocks, _BLOCK))
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")
+    blocks = staged(docs.select("doc_id", "text", F.col("held_out").alias("held"), turn.alias("round")).mapInArrow(_blocks, _BLOCK))
     entries = blocks.agg(F.sum("distinct")).first()[0] or 0
     # 17 packed bytes for each entry of a list, at most; a power of two of ranges
     ranges = 1 << max(5, (entries * 17 // RANGE_BYTES).bit_length())
     asked = blocks.select("block", "hashes", "train", "classes").mapInArrow(_requests(ranges), "range long, block long, hashes binary, train binary, classes binary")
     answers = staged(asked.repartition(max(spread(spark), min(ranges, 4096)), "range").sortWithinPartitions("range").mapInArrow(_answers, _ANSWER))
-    n_cls, v_cls = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    n_leaf, v_leaf = np.zeros(CLASSES * SUBS, np.int64), np.zeros(CLASSES * SUBS, np.int64)
     for r in answers.filter("block = -1").select("class_n", "class_v").toLocalIterator():
-        n_cls, v_cls = n_cls + np.frombuffer(r[0], np.int64), v_cls + np.frombuffer(r[1], np.int64)
-    w = fit(blocks)
-    sent = spark.sparkContext.broadcast((w, n_cls, v_cls))
+        n_leaf, v_leaf = n_leaf + np.frombuffer(r[0], np.int64), v_leaf + np.frombuffer(r[1], np.int64)
+    sent = spark.sparkContext.broadcast((fit(blocks, n_leaf), n_leaf, v_leaf))
     told = answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))
     return blocks.drop("train", "distinct").join(told, "block").mapInArrow(_score(sent), _SCORE)
 

@@ -368,24 +368,6 @@ def test_lm(spark):
     assert nothing["train_tokens"] == 0 and nothing["n_known"] == 0 and nothing["base_score"] == 0
 
 
-def test_lm_is_a_distribution():
-    """All known tokens and one unseen share a class add up to one after any context."""
-    rng = np.random.default_rng(1)
-    data = np.frombuffer(" ".join(rng.choice(["ab", "bc", "cd", "dab", "eve"], 3000)).encode(), np.uint8)
-    h, cls, size = lm.tokenise(data, np.array([0, len(data)]))
-    known, first, at = np.unique(h, return_index=True, return_inverse=True)
-    c = np.bincount(at)
-    f = lm.features(lm._bucket(known)[at], cls.astype(np.int64), size)
-    w, sq = np.zeros((lm.ROWS, lm.CLASSES), np.float32), np.zeros((lm.ROWS, lm.CLASSES), np.float32)
-    for _ in range(3):
-        lm.update(w, sq, f, cls.astype(np.int64))
-    p = np.exp(lm._log_softmax(w, [x[7:8] for x in f]))[0]
-    kinds = cls[first]
-    n, v = np.bincount(kinds, c, lm.CLASSES), np.bincount(kinds, minlength=lm.CLASSES)
-    room = n + v + 1
-    assert abs(sum(p[kinds] * (c + 1) / room[kinds]) + sum(p / room) - 1) < 1e-4
-
-
 def test_lm_beats_the_base(spark):
     got = lm.op3_lm_scores(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > got["b"]
