@@ -15,8 +15,9 @@ before the anchor to LENGTH after its start.
    column, and only suffixes of one column are kept. Where they are many, columns are read one after the other from a scratch file of the task
    (nothing else sees it, and it goes with the task), and a round's state is its order and prefixes. Neighbours with LENGTH or more in common are repeats.
 
-Defined cases: null text counts as empty; matches never cross documents; a document shorter than LENGTH loses nothing; rows that
-repeat a doc_id are texts of their own, and equal rows repeat each other; a null doc_id stays null.
+Defined cases: null text counts as empty; matches never cross documents; a document shorter than LENGTH loses nothing, and very long ones are taken whole; rows that
+repeat a doc_id are texts of their own, and equal rows repeat each other; a null doc_id stays null, and such rows are told apart by 128 bits of hashes of their text
+(others by doc_id and 64 of them); an empty table gives an empty result. Columns other than doc_id and text may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Rolling, mix, runs, spread, staged, utf8
+from corpusloom.llm.common import Rolling, mix, row_key, runs, spread, staged, utf8
 from corpusloom.session import table
 
 LENGTH, GRAM = 200, 50
@@ -37,7 +38,6 @@ LEFT, RIGHT = LENGTH - GRAM, LENGTH
 HALF, WINDOW, WIDTH = LEFT // 2, LENGTH - GRAM + 1, LENGTH - GRAM + LENGTH
 #: Contexts of a collection before it is built; bytes of a collection from which its columns are in a file.
 COLLECT, IN_MEMORY = 20_000, 64 << 20
-_NONE = -(1 << 63)
 
 
 def anchors(roll: Rolling, off: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def anchors(roll: Rolling, off: np.ndarray) -> np.ndarray:
     return got[np.r_[True, got[1:] != got[:-1]]].astype(np.int64) if len(got) else np.zeros(0, np.int64)
 
 
-_ANCHOR = "h long, ctx long, doc_id long, row int, pos int, sure boolean"
+_ANCHOR = "h long, ctx long, doc_id long, row long, pos int, sure boolean"
 
 
 def _anchor_rows(batches):
@@ -100,45 +100,73 @@ def _anchor_rows(batches):
                 )
 
 
-_MARK = "doc_id long, row int, pos int, sure boolean"
+_MARK = "doc_id long, row long, pos int, sure boolean"
 
 
-def _mark(t: pa.Table) -> pa.RecordBatch:
-    """Rows sorted by (h, ctx), all of each h: places whose context repeats (sure), and one of each context to be compared."""
-    h, ctx = t.column("h").to_numpy(), t.column("ctx").to_numpy()
-    new_h = np.r_[True, h[1:] != h[:-1]]
-    new_c = new_h | np.r_[True, ctx[1:] != ctx[:-1]]
-    own_c, own_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    sure = (np.bincount(own_c)[own_c] > 1) | t.column("sure").to_numpy(zero_copy_only=False)
-    several = np.bincount(own_h[new_c])[own_h] > 1
-    a, b = np.flatnonzero(sure), np.flatnonzero(new_c & several)
-    rows = t.select(["doc_id", "row", "pos"]).take(pa.array(np.r_[a, b])).combine_chunks()
-    cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(np.r_[np.ones(len(a), bool), np.zeros(len(b), bool)])], ["doc_id", "row", "pos", "sure"])
+class Marks:
+    """Takes rows sorted by (h, ctx); gives the places whose context repeats (sure), and one of each context of a gram that has several, to be compared.
+
+    What waits from batch to batch is the last row, and the first row of a gram that has one context so far.
+    """
+
+    def __init__(self):
+        self.last: pa.Table | None = None
+        self.like_before = False  # the last row's context is that of the row before
+        self.first: pa.Table | None = None  # of the last row's gram, not given yet
+
+    def take(self, t: pa.Table, end: bool = False) -> pa.RecordBatch:
+        began = self.last is None
+        t = t if began else pa.concat_tables([self.last, t]).combine_chunks()
+        h, ctx = t.column("h").to_numpy(), t.column("ctx").to_numpy()
+        new_h = np.r_[began, h[1:] != h[:-1]]
+        new_c = new_h | np.r_[began or not self.like_before, ctx[1:] != ctx[:-1]]
+        sure = ~new_c | np.r_[~new_c[1:], False] | t.column("sure").to_numpy(zero_copy_only=False)
+        if not began:
+            # the row that waited was looked at as a new context before
+            new_c[0] = False
+        more = new_c & ~new_h  # a gram's second context and those after it
+        gram = np.cumsum(new_h) - 1 + (not new_h[0])
+        several = np.bincount(gram[more], minlength=gram[-1] + 1) > 0
+        given = [t.slice(0, 0)]
+        if self.first is not None and several[0] and not new_h[0]:
+            given.append(self.first)
+        if new_h[1:].any() or several[0] or new_h[0]:
+            self.first = None
+        begins = np.flatnonzero(new_h & several[gram])
+        alone = np.flatnonzero(new_h & ~several[gram] & (gram == gram[-1]))
+        if len(alone):
+            self.first = t.slice(int(alone[-1]), 1)
+        stop = len(h) if end else len(h) - 1
+        a, b = np.flatnonzero(sure[:stop]), np.r_[begins, np.flatnonzero(more)]
+        self.last, self.like_before = t.slice(len(h) - 1), bool(sure[-1] and not new_c[-1]) if len(h) > 1 or began else self.like_before
+        rows = pa.concat_tables([t.take(pa.array(a, pa.int64())), t.take(pa.array(b, pa.int64())), *given]).select(["doc_id", "row", "pos"]).combine_chunks()
+        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(rows.num_rows) < len(a))], ["doc_id", "row", "pos", "sure"])
 
 
 def _marks(batches):
-    rest = None
+    marks, waiting = Marks(), None
     for b in batches:
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks()
-        h = t.column("h").to_numpy()
-        if not len(h):
+        if not b.num_rows:
             continue
-        last = int(np.searchsorted(h, h[-1]))  # sorted, so this is where the last one begins
-        if last:
-            yield _mark(t.slice(0, last))
-        rest = t.slice(last)
-    if rest is not None and rest.num_rows:
-        yield _mark(rest)
+        if waiting is not None:
+            yield marks.take(waiting)
+        waiting = pa.Table.from_batches([b])
+    if waiting is not None:
+        yield marks.take(waiting, True)
 
 
-_CONTEXT = "key long, doc_id long, row int, pos int, before int, bytes binary"
+_CONTEXT = "key long, doc_id long, row long, pos int, before int, bytes binary"
 
 
 def _contexts(batches):
     """(doc_id, row, text, pos list) to the contexts at these places, each under the keys of either half."""
+    before = None
     for b in batches:
         for d, r, t, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            if (d, r) == before:  # equal rows give their contexts once
+                continue
+            before = (d, r)
             raw = (t or "").encode("utf-8", "surrogatepass")
             data = np.frombuffer(raw, np.uint8)
             at = np.array(sorted(set(ps)), np.int64)
@@ -151,7 +179,7 @@ def _contexts(batches):
                 [
                     pa.array(key.view(np.int64)),
                     pa.array(np.full(len(on), d, np.int64)),
-                    pa.array(np.full(len(on), r, np.int32)),
+                    pa.array(np.full(len(on), r, np.int64)),
                     pa.array(at[on].astype(np.int32)),
                     pa.array((at - lo)[on].astype(np.int32)),
                     pa.array([raw[lo[i] : hi[i]] for i in on], pa.binary()),
@@ -197,7 +225,7 @@ def repeated_columns(contexts: list[bytes], before: np.ndarray, bwt: list | None
     return hit
 
 
-_SPAN = "doc_id long, row int, lo int, hi int"
+_SPAN = "doc_id long, row long, lo int, hi int"
 
 
 def _spans(doc, row, pos, hit) -> pa.RecordBatch:
@@ -271,8 +299,9 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of docs, spans null where nothing repeats. Rows are told apart by doc_id and a hash of the text."""
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.hash(F.coalesce("text", F.lit(""))).alias("_row"))
+    """(doc_id, text, spans) of docs, spans null where nothing repeats. Rows are told apart by doc_id, or a hash of the text, and another hash of the text."""
+    _, one, two = row_key("_id", "_row", "_other")
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), two).alias("_id"), one)
     spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), "text"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans")
     return keyed.join(spans, ["_id", "_row"], "left").drop("_id", "_row")
