@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,16 +47,19 @@ def test_retries():
         return ("", {}) if len(calls) == 2 else ("ok", {"in": 1})
 
     waits = []
-    assert providers.ask_again(shaky, [], sleep=waits.append) == ("ok", {"in": 1}) and waits == [5, 10]
-    with pytest.raises(RuntimeError):
-        providers.ask_again(lambda m: ("", {}), [], sleep=lambda s: None)
-    with pytest.raises(providers.TemporaryFailure):
-        providers.ask_again(lambda m: (_ for _ in ()).throw(providers.TemporaryFailure("500")), [], sleep=lambda s: None)
+    retry = providers.Retry(sleep=waits.append, chance=lambda: 0.5)
+    assert retry.ask(shaky, []) == ("ok", {"in": 1}) and waits == [2, 6]
+    assert all(1.5 <= w <= 2.5 for w in (next(providers.Retry().waits()) for _ in range(50)))
+    quiet = providers.Retry(calls=3, sleep=lambda s: None)
+    with pytest.raises(providers.TemporaryFailure, match="empty"):
+        quiet.ask(lambda m: ("", {}), [])
+    with pytest.raises(providers.TemporaryFailure, match="500"):
+        quiet.ask(lambda m: (_ for _ in ()).throw(providers.TemporaryFailure("500")), [])
 
 
 def test_event_stream(tmp_path, monkeypatch):
-    lines = ['data: {"choices":[{"delta":{"content":"a"}}]}', ": ping", 'data: {"choices":[],"usage":{"in":2}}', "data: [DONE]"]
-    assert providers.read_stream(lines) == ("a", {"in": 2})
+    lines = ['data: {"choices":[{"delta":{"content":"a"}}]}\n', "\n", ": ping", "", 'data: {"choices":', 'data: [],"usage":{"in":2}}', "", "data: [DONE]", "", "data: nothing"]
+    assert providers.read_stream(lines) == ("a", {"in": 2}) and providers.read_stream([]) == ("", {})
     (tmp_path / ".env").write_text("KEY='v'\n")
     assert providers.setting("KEY", str(tmp_path / ".env")) == "v"
 
@@ -65,6 +70,20 @@ def test_rewrite(spark):
     assert got["0_0"]["answer"] == "the king" and got["0_0"]["accepted"] and got["0_1"]["answer"] == "it"
 
 
+def test_rewrites_run_in_parallel_and_keep_their_order(spark):
+    def slow(messages):
+        import time
+
+        time.sleep(0.2)
+        return messages[-1]["content"].split(":")[-1].strip(), {"in": 1}
+
+    df = spark.createDataFrame([(str(i), f"word{i}") for i in range(32)], "chunk_id string, text string").coalesce(1)
+    start = time.perf_counter()
+    rows = providers.rewrite(df, slow, [], [], "s", attempts=2).collect()
+    assert [r["chunk_id"] for r in rows] == [str(i) for i in range(32)] and all(r["attempts"] == 2 and r["usage"] == {"in": 2} for r in rows)
+    assert time.perf_counter() - start < 32 * 2 * 0.2
+
+
 def test_resume_stream(spark, tmp_path):
     src, sink, chk = (f"{tmp_path}/{x}" for x in ("src", "sink", "chk"))
     rows = [("1", "a", "t"), ("2", "b", "t"), ("1", "a", "t")]
