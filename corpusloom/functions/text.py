@@ -88,23 +88,23 @@ def pack_chunks(text: Column, limit: int = 6000, separator: str = "\n\n") -> Col
     return F.aggregate(F.split(text, separator), zero, step, last)
 
 
-def bad_words(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
-    """Words of a text column that are not in the list, in order, with repeats.
-
-    Lower-case words must be in `words`; capitalised words and single capitals in `names` (or in the row's `allowed` array
-    column); every other pattern is bad.
-    """
+def _listed(words: Collection[str], names: Collection[str], allowed: str | None) -> str:
+    """SQL test of a word w: lower-case words must be in `words`; capitalised ones in `names`, or in the row's `allowed` array column."""
     name = member("w", names) + (f" OR array_contains({allowed}, w)" if allowed else "")
-    ok = f"CASE WHEN w RLIKE '^[a-z]+$' THEN {member('w', words)} WHEN w RLIKE '^[A-Z][a-z]*$' THEN ({name}) ELSE false END"
-    return F.expr(f"filter(regexp_extract_all({text}, '[A-Za-z]+', 0), w -> NOT ({ok}))")
+    return f"CASE WHEN w RLIKE '^[a-z]+$' THEN {member('w', words)} WHEN w RLIKE '^[A-Z][a-z]*$' THEN ({name}) ELSE false END"
+
+
+def bad_words(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
+    """Words of a text column that are not in the list, in order, with repeats; every pattern but lower-case and capitalised is bad."""
+    return F.expr(f"filter(regexp_extract_all({text}, '[A-Za-z]+', 0), w -> NOT ({_listed(words, names, allowed)}))")
 
 
 def check(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
     """Struct of n_words, bad, oov_rate and bad_punct (characters outside white space, letters, digits and . , ? !)."""
-    n = F.expr(f"size(regexp_extract_all({text}, '[A-Za-z]+', 0))")
-    bad = bad_words(text, words, names, allowed)
+    found = f"transform(array(regexp_extract_all({text}, '[A-Za-z]+', 0)), f -> struct(size(f) AS n, filter(f, w -> NOT ({_listed(words, names, allowed)})) AS bad))"
+    rated = f"transform({found}, r -> named_struct('n_words', r.n, 'bad', r.bad, 'oov_rate', size(r.bad) / greatest(r.n, 1)))[0]"
     punct = F.length(F.regexp_replace(F.col(text), r"(?U)[\sA-Za-z0-9.,?!]", ""))
-    return F.struct(n.alias("n_words"), bad.alias("bad"), (F.size(bad) / F.greatest(n, F.lit(1))).alias("oov_rate"), punct.alias("bad_punct"))
+    return F.expr(rated).withField("bad_punct", punct)
 
 
 def normalize(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
@@ -138,16 +138,14 @@ def squeeze(text: Column) -> Column:
 
 def drop_bad_sentences(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None, separator: str = "\\n\\n") -> Column:
     """Struct of text, kept and dropped: sentences with a bad word go; blank ones don't count; empty paragraphs vanish."""
-    name = member("w", names) + (f" OR array_contains({allowed}, w)" if allowed else "")
-    ok = f"CASE WHEN w RLIKE '^[a-z]+$' THEN {member('w', words)} WHEN w RLIKE '^[A-Z][a-z]*$' THEN ({name}) ELSE false END"
-    good = f"forall(regexp_extract_all(s, '[A-Za-z]+', 0), w -> {ok})"
-    said = f"filter(regexp_extract_all(p, '[^.?!]+[.?!]*', 0), s -> s RLIKE '(?U)\\\\S')"
-    parts = f"transform(split({text}, '{separator}'), p -> {said})"
-    kept = f"transform({parts}, q -> filter(q, s -> {good}))"
+    good = f"forall(regexp_extract_all(s, '[A-Za-z]+', 0), w -> {_listed(words, names, allowed)})"
+    said = "filter(regexp_extract_all(p, '[^.?!]+[.?!]*', 0), s -> s RLIKE '(?U)\\\\S')"
+    # each paragraph's sentences are found and judged once
+    parts = f"transform(split({text}, '{separator}'), p -> transform(array({said}), q -> named_struct('n', size(q), 'ok', filter(q, s -> {good})))[0])"
     strip_ = "regexp_replace(s, '(?U)^\\\\s+|\\\\s+$', '')"
-    joined = f"array_join(filter(transform({kept}, q -> array_join(transform(q, s -> {strip_}), ' ')), p -> p <> ''), '\\n\\n')"
-    count = lambda x: f"aggregate({x}, 0, (a, q) -> a + size(q))"
-    return F.expr(f"named_struct('text', {joined}, 'kept', {count(kept)}, 'dropped', {count(parts)} - {count(kept)})")
+    joined = f"array_join(filter(transform(ps, q -> array_join(transform(q.ok, s -> {strip_}), ' ')), p -> p <> ''), '\\n\\n')"
+    count = lambda x: f"aggregate(ps, 0, (a, q) -> a + {x})"
+    return F.expr(f"transform(array({parts}), ps -> named_struct('text', {joined}, 'kept', {count('size(q.ok)')}, 'dropped', {count('q.n - size(q.ok)')}))[0]")
 
 
 def subject_names(title: str, text: str, words: Collection[str]) -> Column:

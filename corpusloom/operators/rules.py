@@ -21,13 +21,15 @@ def off_list_words(docs: DataFrame, words: DataFrame, names: DataFrame) -> DataF
 def replace_words(docs: DataFrame, key: str, replace: DataFrame) -> DataFrame:
     """docs(key, text) with each run of letters replaced by its row in replace(word, repl); one pass, no re-scan.
 
-    Segments are joined by word and put back in order by one aggregation over the key.
+    Segments are joined by word and put back in order by one aggregation over the key and a 128-bit hash of the text, so rows that share a key, null or not, are
+    texts of their own; rows that share both give as many equal rows.
     """
-    parts = docs.select(key, F.posexplode(extract(F.col("text"), LETTER_SEGMENTS)).alias("pos", "s"))
-    done = parts.join(replace, parts["s"] == replace["word"], "left").select(key, F.struct("pos", F.coalesce("repl", "s").alias("s")).alias("p"))
-    whole = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("text"))
-    empty = docs.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select(key, "text")
-    return whole.unionByName(empty)
+    own = [F.col(key), F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2")]
+    texts = docs.groupBy(*own).agg(F.first("text").alias("text"), F.count("*").alias("_rows"))
+    parts = texts.select(key, "_h1", "_h2", "_rows", F.posexplode_outer(extract(F.col("text"), LETTER_SEGMENTS)).alias("pos", "s"))
+    done = parts.join(replace, parts["s"] == replace["word"], "left").select(key, "_h1", "_h2", "_rows", F.struct("pos", F.coalesce("repl", "s").alias("s")).alias("p"))
+    whole = done.groupBy(key, "_h1", "_h2", "_rows").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("text"))
+    return whole.select(key, "text", F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int")))).select(key, "text")
 
 
 def valid_replacements(replace: DataFrame, words: DataFrame) -> DataFrame:

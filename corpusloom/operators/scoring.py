@@ -23,6 +23,25 @@ def unigram_nll(counts: DataFrame, held: DataFrame, k: float = 1.0) -> DataFrame
     return own.agg(F.sum("n").alias("tokens"), F.sum(-F.col("n") * F.ln((F.coalesce("c", F.lit(0)) + k) / F.lit(float(room)))).alias("nll"))
 
 
+def window_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): neighbours inside windows of rows(ids); as windows overlap by one id, each neighbour of a document is there once."""
+    n = F.greatest(F.size("ids") - 1, F.lit(0))
+    return rows.select(F.explode(F.zip_with(F.slice("ids", F.lit(1), n), F.slice("ids", 2, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))).alias("p")).select("p.a", "p.b")
+
+
+def bigram_nll(train: DataFrame, held: DataFrame, counts: DataFrame, k: float = 1.0) -> DataFrame:
+    """(tokens, nll) of held pairs(a, b) under bigrams of train pairs(a, b) that fall back, by k, on add-one unigrams of counts(w, n)."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count("*").alias("v")).first()
+    room = float(total["t"] + total["v"] + 1)
+    two = train.groupBy("a", "b").agg(F.count("*").alias("ab"))
+    one = two.groupBy("a").agg(F.sum("ab").alias("a_n"))
+    asked = held.groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = asked.join(two, ["a", "b"], "left").join(one, "a", "left").join(counts.select(F.col("w").alias("b"), F.col("n").alias("c")), "b", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p = (zero("ab") + k * (zero("c") + 1) / F.lit(room)) / (zero("a_n") + k)
+    return own.agg(F.sum("n").alias("tokens"), F.sum(-F.col("n") * F.ln(p)).alias("nll"))
+
+
 def bits_per_byte(nll: Column, n_bytes: Column) -> Column:
     return nll / F.ln(F.lit(2.0)) / n_bytes
 
@@ -72,8 +91,8 @@ def bigrams(docs: DataFrame, tokens: str) -> DataFrame:
 
 
 def greedy(pairs: DataFrame, start: str, n: int) -> list[str]:
-    """The most frequent continuation again and again; ties by the token. One row a step reaches the driver."""
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", F.expr("-ascii(b)"), "b")).alias("b")).cache()
+    """The most frequent continuation again and again; ties by the least token. One row a step reaches the driver."""
+    best = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b")).cache()
     out = [start]
     try:
         for _ in range(n):

@@ -189,17 +189,33 @@ def encode_word(word: tuple[str, ...], ranks: dict[tuple[str, str], int]) -> lis
     return parts
 
 
+def as_bytes(word):
+    """A string column's UTF-8 bytes as characters U+0000 to U+00FF, the alphabet of byte-level merges."""
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def from_bytes(token):
+    """The text of a byte-level token; bytes that are no whole character become U+FFFD."""
+    return F.decode(F.encode(token, "ISO-8859-1"), "UTF-8")
+
+
+def library_model(merges: list[tuple[str, str]], characters):
+    """A library's BPE model of the merges, with a vocabulary of the characters and the products."""
+    from tokenizers import models
+
+    pairs = list(dict.fromkeys(merges))
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*sorted(characters), *(x for p in pairs for x in (*p, p[0] + p[1]))]))}
+    return models.BPE(vocab=vocab, merges=pairs)
+
+
 def encode_types(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """types(w, …) with `tokens`: word types are encoded once each, in Arrow batches."""
-    ranks: dict[tuple[str, str], int] = {}
-    for i, m in enumerate(merges):
-        ranks.setdefault(m, i)
-    sent = types.sparkSession.sparkContext.broadcast(ranks)
+    """types(w, …) with `tokens`: word types are encoded once each, in Arrow batches, by a library's BPE."""
+    sent = types.sparkSession.sparkContext.broadcast(list(merges))
 
     @F.pandas_udf("array<string>")
     def tokens(w):
-        own = sent.value
-        return w.map(lambda x: encode_word(tuple(x), own))
+        model = library_model(sent.value, set().union(*w))
+        return w.map(lambda x: [t.value for t in model.tokenize(x)] if x else [])
 
     # the rows are few bytes but much work: dealt by number, so that they are not packed into a few tasks
     n = max(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), types.sparkSession.sparkContext.defaultParallelism)
@@ -320,6 +336,13 @@ def settled(counts: list[tuple[tuple[str, str], int]], most: int, known=()) -> l
     return out
 
 
+def train_byte_bpe(types: DataFrame, size: int, special: tuple[str, ...] = ()) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """Vocabulary of at most `size` entries and merges, learned from word types (w, n) as bytes: special tokens first, then all 256 bytes, then products."""
+    base = [*special, *(chr(i) for i in range(256))]
+    merges = train_bpe_types(types.withColumn("w", as_bytes(F.col("w"))), max(0, size - len(base)))
+    return {t: i for i, t in enumerate(dict.fromkeys([*base, *(a + b for a, b in merges)]))}, merges
+
+
 def train_bpe_types(types: DataFrame, merges: int) -> list[tuple[str, str]]:
     """train_bpe() over a table of counted word types (w, n) of any size.
 

@@ -58,9 +58,10 @@ def finetune(pairs: DataFrame, vectors: DataFrame, steps: int = 20, rate: float
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    rows = vectors.orderBy("id").limit(MOST_WEIGHTS).collect()
-    if len(rows) and len(rows) * len(rows[0]["embedding"]) > MOST_WEIGHTS:
+    weights = vectors.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    if weights > MOST_WEIGHTS:
         raise ValueError("too many weights for one driver")
+    rows = vectors.orderBy("id").collect()
     ids = np.array([r["id"] for r in rows], np.int64)
     w = np.array([r["embedding"] for r in rows], np.float64)
     known = spark.createDataFrame([(int(i),) for i in ids], "id long")

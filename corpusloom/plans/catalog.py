@@ -26,5 +26,5 @@ def load() -> None:
     """Imports the modules whose queries register themselves."""
     import importlib
 
-    for m in ("word_queries", "article_queries", "rule_queries", "tokenizer_queries", "vector_queries", "scoring_queries", "encoding_queries"):
+    for m in ("word_queries", "article_queries", "rule_queries", "tokenizer_queries", "vector_queries", "scoring_queries", "encoding_queries", "source_queries"):
         importlib.import_module(f"corpusloom.plans.{m}")

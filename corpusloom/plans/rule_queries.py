@@ -104,6 +104,36 @@ def apply_replacements_joined(spark, d):
     return out.select("doc_id", F.md5(tx.squeeze(F.col("text")).cast("binary")).alias("text_md5"))
 
 
+#: Names that a row allows: its first words, as a title's would be.
+ALLOWED = r"list_distinct(regexp_extract_all(text, '[A-Za-z]+')[:12])"
+
+
+def with_allowed(spark, d):
+    return docs(spark, d).withColumn("allowed", F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 12)))
+
+
+@register(
+    "apply_replacements_allowed",
+    f"""WITH r AS (SELECT map_from_entries(list((word, repl))) AS m FROM ({REPL})),
+a AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), lambda x: CASE WHEN list_contains(ok, x) THEN x ELSE coalesce(m[x], x) END), ''), '[ \\t]+', ' ', 'g') AS text
+FROM (SELECT doc_id, text, {ALLOWED} AS ok FROM documents), r) SELECT doc_id, md5(text) AS text_md5 FROM a""",
+)
+def apply_replacements_allowed(spark, d):
+    """The dictionary without the names that a row allows."""
+    table_ = {r["word"]: r["repl"] for r in replacements(spark, d).collect()}
+    return with_allowed(spark, d).select("doc_id", F.md5(tx.squeeze(tx.apply_map("text", table_, "allowed")).cast("binary")).alias("text_md5"))
+
+
+@register(
+    "rule_check_allowed",
+    rf"""WITH {LISTS}, c AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS found, ws, {ALLOWED} AS ok FROM documents, l)
+SELECT doc_id, len(list_filter(found, lambda w: NOT CASE WHEN regexp_full_match(w, '[a-z]+') THEN list_contains(ws, w) WHEN regexp_full_match(w, '[A-Z][a-z]*') THEN list_contains({NAME_LIST}, w) OR list_contains(ok, w) ELSE false END)) AS n_bad FROM c""",
+)
+def rule_check_allowed(spark, d):
+    """Capitalised words are good if they are on the list of names or among the row's own."""
+    return with_allowed(spark, d).select("doc_id", F.size(tx.check("text", listed(spark, d), NAMES, "allowed")["bad"]).cast("long").alias("n_bad"))
+
+
 @register("valid_replacements", f"WITH {LISTS} SELECT word, repl FROM ({REPL}), l WHERE len(list_filter(regexp_extract_all(repl, '[A-Za-z]+'), lambda w: NOT list_contains(ws, w))) = 0")
 def valid_replacements(spark, d):
     return rules.valid_replacements(replacements(spark, d), spark.createDataFrame([(w,) for w in listed(spark, d)], "w string"))

@@ -7,6 +7,7 @@ from corpusloom.operators import scoring, splits, words
 from corpusloom.plans.catalog import register
 from corpusloom.plans.common import HELD, SPLIT, TRAIN
 from corpusloom.session import table
+from corpusloom.sources.checkpoints import checkpointed
 
 IDS = "SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w)) AS ids FROM documents"
 
@@ -60,6 +61,59 @@ def bits_per_byte_unigram(spark, d):
     return scoring.unigram_nll(train, held).select("tokens", F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte"))
 
 
+@register(
+    "bits_per_byte_bigram",
+    BITS
+    + """, x AS (SELECT split, regexp_extract_all(text, '[A-Za-z]+') AS t FROM s WHERE split <> 'dropped'), p AS (SELECT split, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM x WHERE len(t) > 1),
+two AS (SELECT a, b, count(*) AS ab FROM p WHERE split = 'train' GROUP BY ALL), one AS (SELECT a, sum(ab) AS a_n FROM two GROUP BY a), k AS (SELECT sum(n) + count(*) + 1 AS room FROM tr),
+h AS (SELECT a, b, count(*) AS n FROM p WHERE split = 'held' GROUP BY ALL)
+SELECT sum(h.n)::BIGINT AS tokens, round(sum(-h.n * ln((coalesce(ab, 0) + (coalesce(tr.n, 0) + 1) / room) / (coalesce(a_n, 0) + 1))) / ln(2) / max(bytes.b), 5) AS bits_per_byte
+FROM h LEFT JOIN two USING (a, b) LEFT JOIN one USING (a) LEFT JOIN tr ON tr.w = h.b, k, bytes""",
+)
+def bits_per_byte_bigram(spark, d):
+    """An n-gram model scored over windows of 512 words that overlap by one."""
+    s = splits.budget_split(docs(spark, d).select("doc_id", "text", F.octet_length("text").cast("long").alias("b")), "doc_id", "b", HELD, TRAIN).filter("split <> 'dropped'")
+    w = s.select("split", F.explode(scoring.windows(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("ids"))
+    train, _, size = split_counts(spark, d)
+    pairs = {k: scoring.window_pairs(w.filter(F.col("split") == k)) for k in ("train", "held")}
+    return scoring.bigram_nll(pairs["train"], pairs["held"], train).select("tokens", F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte"))
+
+
+@register(
+    "evaluate_keep",
+    BITS
+    + """, m AS (SELECT * FROM (VALUES (1), (5), (20), (100)) v(m)), d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS t FROM s WHERE split = 'held'),
+v AS (SELECT m, count(*) AS vocab, sum(n) AS total FROM tr, m WHERE n >= m GROUP BY m), e AS (SELECT doc_id, unnest(t) AS w FROM d),
+c AS (SELECT m, doc_id, count(*) AS n_old, sum(CASE WHEN coalesce(tr.n, 0) >= m THEN 1 ELSE length(e.w) END) AS n_new FROM e LEFT JOIN tr USING (w), m GROUP BY ALL),
+g AS (SELECT m, count(*) AS docs, avg((coalesce(n_new, 0) = coalesce(n_old, 0))::INT) AS identical, avg(coalesce(n_new, 0) / greatest(coalesce(n_old, 0), 1)) AS length_ratio FROM (SELECT m, doc_id FROM d, m) LEFT JOIN c USING (m, doc_id) GROUP BY m),
+b AS (SELECT m, sum(-he.n * ln(tr.n / v.total)) / ln(2) AS bits FROM he JOIN tr USING (w), v WHERE tr.n >= m GROUP BY m)
+SELECT m, vocab, 1000000 - 64 * ((SELECT count(*) FROM tr) - (vocab + 63) // 64 * 64) AS params, round(identical, 6) AS identical, round(length_ratio, 6) AS length_ratio, round(bits / bytes.b, 5) AS bits_per_byte
+FROM v JOIN g USING (m) JOIN b USING (m), bytes""",
+)
+def evaluate_keep(spark, d):
+    """One row for each threshold: what is kept, parameters, agreement on held documents and bits per byte. Words that are kept are one token, others their letters; words of one letter stay one."""
+    from functools import reduce
+
+    from corpusloom.operators.vectors import pad_to
+
+    s = splits.budget_split(docs(spark, d).select("doc_id", "text", F.octet_length("text").cast("long").alias("b")), "doc_id", "b", HELD, TRAIN)
+    train, held, size = (x if isinstance(x, int) else checkpointed(x) for x in split_counts(spark, d))
+    texts = s.filter("split = 'held'").select("doc_id", "text")
+    each = words.exploded(texts, words.LETTERS, "doc_id").groupBy("doc_id", "w").agg(F.count("*").alias("k"))
+    each = checkpointed(each.join(train.withColumnRenamed("n", "c"), "w", "left"))
+    docs_ = texts.select("doc_id")
+    had, out = train.count(), []
+    for m in (1, 5, 20, 100):
+        kept = train.filter(F.col("n") >= m)
+        cuts = each.groupBy("doc_id").agg(F.sum("k").alias("n_old"), F.sum(F.col("k") * F.when(F.coalesce("c", F.lit(0)) >= m, 1).otherwise(F.length("w"))).alias("n_new"))
+        cuts = docs_.join(cuts, "doc_id", "left").fillna(0)
+        agree = cuts.agg(F.avg((F.col("n_old") == F.col("n_new")).cast("int")).alias("identical"), F.avg(F.col("n_new") / F.greatest("n_old", F.lit(1))).alias("length_ratio"))
+        nll = held.join(scoring.restricted(train, kept), "w").agg(F.sum(-F.col("n") * F.ln("p")).alias("nll"))
+        n = kept.count()
+        out.append(agree.crossJoin(nll).select(F.lit(m).alias("m"), F.lit(n).alias("vocab"), F.lit(1_000_000 - 64 * (had - pad_to(n))).alias("params"), F.round("identical", 6).alias("identical"), F.round("length_ratio", 6).alias("length_ratio"), F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @register(
     "bits_per_byte_pruned",
     BITS
@@ -104,7 +158,12 @@ def token_bigrams(spark, d):
     return scoring.bigrams(t, "t").filter("n >= 5")
 
 
-@register("greedy_generation")
+@register(
+    "greedy_generation",
+    """WITH RECURSIVE x AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS t FROM documents), p AS (SELECT unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM x WHERE len(t) > 1),
+c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), best AS (SELECT a, b FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+r AS (SELECT 0 AS pos, 'the' AS token UNION ALL SELECT pos + 1, b FROM r JOIN best ON a = token WHERE pos < 16) SELECT pos, token FROM r""",
+)
 def greedy_generation(spark, d):
     t = docs(spark, d).select(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("t"))
     said = scoring.greedy(scoring.bigrams(t, "t"), "the", 16)

@@ -35,8 +35,8 @@ def top_words(spark, d):
 
 
 def toy(spark, d):
-    """vocab, merges and the counted words of the derived tokenizer."""
-    top = top_words(spark, d)
+    """vocab, merges and the counted words of the derived tokenizer; the documents are read once, for TOP words."""
+    top = checkpointed(top_words(spark, d))
     pre = top.select(F.explode(F.expr("transform(sequence(1, length(w)), i -> substring(w, 1, i))")).alias("token"))
     alpha = spark.range(97, 123).select(F.char("id").alias("token"))
     order = Window.orderBy(F.length("token"), "token")
@@ -168,8 +168,9 @@ def vocabulary_overlap(spark, d):
 
 
 def learned(spark, d, n: int = 200):
-    """Word types with counts, and merges learned from all of them."""
-    types = checkpointed(words.counts(docs(spark, d)))
+    """Word types as bytes with counts, and merges learned from all of them."""
+    types = words.counts(docs(spark, d), r"\p{L}+").withColumn("w", tokenizers.as_bytes(F.col("w")))
+    types = checkpointed(types)
     return types, tokenizers.train_bpe_types(types, n)
 
 
@@ -186,7 +187,7 @@ def bpe_train(spark, d):
 
 @register("bpe_encode")
 def bpe_encode(spark, d):
-    """Token counts of the learned BPE."""
+    """Token counts of the learned byte-level BPE; a token's bytes as characters U+0000 to U+00FF."""
     return learned_usage(*learned(spark, d))
 
 
@@ -205,13 +206,93 @@ def unreachable_tokens(spark, d):
     return out[0].unionByName(out[1])
 
 
-@register("merge_tree")
+@register(
+    "merge_tree",
+    f"""WITH {TOK}, o AS (SELECT token AS w FROM vocab ORDER BY length(token) DESC, id LIMIT 1), l AS (SELECT w, unnest(range(0, 4)) AS level FROM o),
+n AS (SELECT level, w[1:length(w) - level] AS token FROM l WHERE level < length(w) UNION ALL SELECT level, w[length(w) - level + 1:length(w) - level + 1] FROM l WHERE level > 0 AND level < length(w))
+SELECT level::INT AS level, token, rank FROM n LEFT JOIN merges ON token = product""",
+)
 def merge_tree(spark, d):
     vocab, merges, _ = toy(spark, d)
     word = vocab.orderBy(F.desc(F.length("token")), "id").first()["token"]
     return spark.createDataFrame(tokenizers.merge_tree(word, merges), "level int, token string, rank int")
 
 
+#: A second merge for products of three or more letters: the first letter and the rest, where the rest is an entry.
+BOTH = TOK + """, used AS (SELECT w AS token FROM top WHERE n >= 100),
+more AS (SELECT m.*, (SELECT count(*) FROM merges) + row_number() OVER (ORDER BY length(product), product) - 1 AS r2 FROM merges m WHERE length(product) > 2 AND product[2:] IN (SELECT token FROM vocab)),
+made AS (SELECT rank, "left", "right", product FROM merges UNION ALL SELECT r2::INT, product[1:1], product[2:], product FROM more)"""
+
+
+def two_producers(spark, d):
+    vocab, merges, top = toy(spark, d)
+    rest = F.expr("substring(product, 2)")
+    more = merges.filter(F.length("product") > 2).join(vocab.select("token"), rest == F.col("token"), "left_semi")
+    n = merges.count()
+    more = more.select((F.row_number().over(Window.orderBy(F.length("product"), "product")) - 1 + n).alias("rank"), F.expr("left(product, 1)").alias("left"), rest.alias("right"), "product")
+    return merges.unionByName(more), used(top)
+
+
+def closure_of(pick: str) -> str:
+    return f"""WITH RECURSIVE {BOTH}, p AS (SELECT product, unnest(["left", "right"]) AS part FROM made WHERE {pick}),
+r AS (SELECT token FROM used UNION SELECT part FROM r JOIN p ON r.token = p.product) SELECT token FROM r"""
+
+
+@register("closure_all_producers", closure_of("true"))
+def closure_all_producers(spark, d):
+    merges, keep = two_producers(spark, d)
+    return tokenizers.closure(keep, merges)
+
+
+@register("closure_first_producer", closure_of("rank = (SELECT min(rank) FROM made m WHERE m.product = made.product)"))
+def closure_first_producer(spark, d):
+    merges, keep = two_producers(spark, d)
+    return tokenizers.closure(keep, merges, "first")
+
+
+@register("closure_last_producer", closure_of("rank = (SELECT max(rank) FROM made m WHERE m.product = made.product)"))
+def closure_last_producer(spark, d):
+    merges, keep = two_producers(spark, d)
+    return tokenizers.closure(keep, merges, "last")
+
+
+#: The derived tokenizer with byte tokens and placeholders after its entries.
+FALLBACK = CLOSED + """, wide AS (SELECT token, id FROM vocab UNION ALL SELECT printf('<0x%02X>', b::INT), ((SELECT count(*) FROM vocab) + b)::INT FROM range(0, 256) t(b)
+UNION ALL SELECT token, (SELECT count(*) FROM vocab)::INT + id FROM (VALUES ('<unused0>', 256), ('<unused1>', 257), ('<s>', 258), ('</s>', 259), ('<unk>', 260)) v(token, id)),
+stays AS (SELECT * FROM wide WHERE token IN (SELECT token[1:i] FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM used) UNION SELECT token[i:i] FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM used))
+ OR token SIMILAR TO '<0x[0-9A-F]{2}>' OR token IN ('<s>', '</s>', '<unk>'))"""
+
+
+def with_fallback(spark, d):
+    vocab, merges, top = toy(spark, d)
+    n = vocab.count()
+    extra = [*(f"<0x{b:02X}>" for b in range(256)), "<unused0>", "<unused1>", "<s>", "</s>", "<unk>"]
+    vocab = vocab.select("token", F.col("id").cast("int").alias("id")).unionByName(spark.createDataFrame([(t, n + i) for i, t in enumerate(extra)], "token string, id int"))
+    added = spark.createDataFrame([(n + i, t) for i, t in enumerate(extra) if i >= 256], "id int, content string")
+    return tokenizers.prune_byte_fallback(vocab, merges, added, used(top), "<unk>")
+
+
+@register("prune_byte_fallback", f"WITH {FALLBACK} SELECT token, id AS old_id, (row_number() OVER (ORDER BY id) - 1)::INT AS new_id FROM stays")
+def prune_byte_fallback(spark, d):
+    return with_fallback(spark, d)[0]
+
+
+@register(
+    "special_id_remap",
+    f"""WITH {FALLBACK}, n AS (SELECT token, (row_number() OVER (ORDER BY id) - 1)::INT AS new_id FROM stays)
+SELECT name, new_id FROM (VALUES ('bos_token_id', '<s>'), ('eos_token_id', '</s>'), ('pad_token_id', '<unk>'), ('post_processor', '<s>')) v(name, token) JOIN n USING (token)""",
+)
+def special_id_remap(spark, d):
+    """A config's and a post-processor's special ids under the new numbers."""
+    numbers, _, added = with_fallback(spark, d)
+    old = {r["content"]: r["old_id"] for r in added.collect()}
+    new = {r["old_id"]: r["new_id"] for r in added.collect()}
+    config = tokenizers.remap_special_ids({"bos_token_id": old["<s>"], "eos_token_id": [old["</s>"]], "pad_token_id": old["<unk>"], "other": 1}, new)
+    post = tokenizers.remap_ids({"processors": [{"special_tokens": {"<s>": {"ids": [old["<s>"]]}}}]}, new, strict=True)
+    rows = [("bos_token_id", config["bos_token_id"]), ("eos_token_id", config["eos_token_id"][0]), ("pad_token_id", config["pad_token_id"]), ("post_processor", post["processors"][0]["special_tokens"]["<s>"]["ids"][0])]
+    return spark.createDataFrame(rows, "name string, new_id int")
+
+
 @register("seeded_vocabulary_order", f"WITH {TOK} SELECT token FROM vocab ORDER BY md5('0:' || token), token LIMIT 50")
 def seeded_vocabulary_order(spark, d):
     vocab, _, _ = toy(spark, d)

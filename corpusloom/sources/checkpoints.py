@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of the session; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+    """checkpoint() into the shared folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only in a local session where it is unset, since other machines would not see that."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        top = sc.getConf().get("spark.checkpoint.dir")
+        if not top and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a folder that driver and executors share is needed")
+        sc.setCheckpointDir(top or "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -63,7 +63,7 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, column: str, order: str, path: str) -> None:
-    """One JSON array in the given order. The rows are written by sorted ranges and only the brackets are added on the driver's side of the plan."""
+    """One JSON array in the given order. Such a file is one record, so this is for small tables (lists of words, labels); write_jsonl is for large ones."""
     ordered = df.select(order, F.to_json(F.array(column)).alias("j")).orderBy(order)
     body = ordered.select(F.expr("substring(j, 2, length(j) - 2)").alias("value"))
     whole = body.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
