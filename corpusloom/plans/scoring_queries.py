@@ -110,7 +110,7 @@ def evaluate_keep(spark, d):
         agree = cuts.agg(F.avg((F.col("n_old") == F.col("n_new")).cast("int")).alias("identical"), F.avg(F.col("n_new") / F.greatest("n_old", F.lit(1))).alias("length_ratio"))
         nll = held.join(scoring.restricted(train, kept), "w").agg(F.sum(-F.col("n") * F.ln("p")).alias("nll"))
         n = kept.count()
-        out.append(agree.crossJoin(nll).select(F.lit(m).alias("m"), F.lit(n).alias("vocab"), F.lit(1_000_000 - 64 * (had - pad_to(n))).alias("params"), F.round("identical", 6).alias("identical"), F.round("length_ratio", 6).alias("length_ratio"), F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte")))
+        out.append(agree.crossJoin(nll).select(F.lit(m).alias("m"), F.lit(n).cast("long").alias("vocab"), F.lit(1_000_000 - 64 * (had - pad_to(n))).cast("long").alias("params"), F.round("identical", 6).alias("identical"), F.round("length_ratio", 6).alias("length_ratio"), F.round(scoring.bits_per_byte(F.col("nll"), F.lit(float(size))), 5).alias("bits_per_byte")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
