@@ -170,12 +170,12 @@ def subject_names(spark, d):
 
 @register(
     "user_messages",
-    rf"""SELECT page_id, 'TITLE: ' || {TITLE} || chr(10) || 'SUBJECT NAMES: ' || coalesce(nullif(array_to_string(regexp_extract_all({TITLE}, '[A-Z][a-z]+'), ', '), ''), '(none)') || chr(10) || 'TEXT:' || chr(10) || substr(html, 1, 200) AS message FROM pages""",
+    rf"""SELECT page_id, 'TITLE: ' || {TITLE} || chr(10) || 'SUBJECT NAMES: ' || coalesce(nullif(array_to_string(regexp_extract_all({TITLE}, '[A-Z][a-z]+'), ', '), ''), '(none)') || chr(10) || 'TEXT:' || chr(10) || html AS message FROM pages""",
 )
 def user_messages(spark, d):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     names = tx.extract(title, "[A-Z][a-z]+")
-    return table(spark, d, "pages").select("page_id", tx.user_message(title, names, F.substring("html", 1, 200)).alias("message"))
+    return table(spark, d, "pages").select("page_id", tx.user_message(title, names, F.col("html")).alias("message"))
 
 
 #: Label answers made of each conversation's turns: "<turn>. <role>".
