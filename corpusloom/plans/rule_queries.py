@@ -184,12 +184,12 @@ LABELS = ("user", "assistant")
 
 @register(
     "label_parse",
-    """SELECT conv_id, turn AS number, max_by(role, turn) AS label FROM (SELECT conv_id, turn::INT AS turn, role FROM conversations WHERE turn BETWEEN 1 AND 3 AND role IN ('user', 'assistant')) GROUP BY ALL""",
+    """SELECT conv_id, turn AS number, max_by(role, turn) AS label FROM (SELECT conv_id, turn::INT AS turn, role FROM conversations WHERE turn >= 1 AND role IN ('user', 'assistant')) GROUP BY ALL""",
 )
 def label_parse(spark, d):
     c = table(spark, d, "conversations")
     line = F.concat(F.col("turn").cast("string"), F.lit(") "), F.col("role"))
-    answers = c.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("answer")).withColumn("n", F.lit(3))
+    answers = c.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("answer"), F.max("turn").cast("int").alias("n"))
     return rules.parse_labels(answers, "conv_id", "answer", LABELS, "n")
 
 
