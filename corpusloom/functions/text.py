@@ -88,15 +88,21 @@ def pack_chunks(text: Column, limit: int = 6000, separator: str = "\n\n") -> Col
     return F.aggregate(F.split(text, separator), zero, step, last)
 
 
+def _once(allowed: str | None, body: str) -> str:
+    """SQL of a body that knows the row's `allowed` array as `_own`. Bound so, its expression is evaluated once a row; a column named inside the body's
+    lambdas may be replaced by what defines it, and then it is evaluated for each word."""
+    return f"transform(array({allowed}), _own -> {body})[0]" if allowed else body
+
+
 def _listed(words: Collection[str], names: Collection[str], allowed: str | None) -> str:
-    """SQL test of a word w: lower-case words must be in `words`; capitalised ones in `names`, or in the row's `allowed` array column."""
-    name = member("w", names) + (f" OR array_contains({allowed}, w)" if allowed else "")
+    """SQL test of a word w: lower-case words must be in `words`; capitalised ones in `names`, or in the row's `allowed` array column, bound by _once()."""
+    name = member("w", names) + (" OR array_contains(_own, w)" if allowed else "")
     return f"CASE WHEN w RLIKE '^[a-z]+$' THEN {member('w', words)} WHEN w RLIKE '^[A-Z][a-z]*$' THEN ({name}) ELSE false END"
 
 
 def bad_words(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
     """Words of a text column that are not in the list, in order, with repeats; every pattern but lower-case and capitalised is bad."""
-    return F.expr(f"filter(regexp_extract_all({text}, '[A-Za-z]+', 0), w -> NOT ({_listed(words, names, allowed)}))")
+    return F.expr(_once(allowed, f"filter(regexp_extract_all({text}, '[A-Za-z]+', 0), w -> NOT ({_listed(words, names, allowed)}))"))
 
 
 def check(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
@@ -104,14 +110,14 @@ def check(text: str, words: Collection[str], names: Collection[str] = (), allowe
     found = f"transform(array(regexp_extract_all({text}, '[A-Za-z]+', 0)), f -> struct(size(f) AS n, filter(f, w -> NOT ({_listed(words, names, allowed)})) AS bad))"
     rated = f"transform({found}, r -> named_struct('n_words', r.n, 'bad', r.bad, 'oov_rate', size(r.bad) / greatest(r.n, 1)))[0]"
     punct = F.length(F.regexp_replace(F.col(text), r"(?U)[\sA-Za-z0-9.,?!]", ""))
-    return F.expr(rated).withField("bad_punct", punct)
+    return F.expr(_once(allowed, rated)).withField("bad_punct", punct)
 
 
 def normalize(text: str, words: Collection[str], names: Collection[str] = (), allowed: str | None = None) -> Column:
     """Capitalised whole words become lower case where they are no allowed names and their lower case is in the list."""
-    name = member("x", names) + (f" OR array_contains({allowed}, x)" if allowed else "")
+    name = member("x", names) + (" OR array_contains(_own, x)" if allowed else "")
     low = f"CASE WHEN x RLIKE '^[A-Z][a-z]*$' AND NOT ({name}) AND {member('lower(x)', words)} THEN lower(x) ELSE x END"
-    return F.expr(f"array_join(transform(regexp_extract_all({text}, {quoted(WORD_SEGMENTS)}, 0), x -> {low}), '')")
+    return F.expr(_once(allowed, f"array_join(transform(regexp_extract_all({text}, {quoted(WORD_SEGMENTS)}, 0), x -> {low}), '')"))
 
 
 def fix_punct(text: Column) -> Column:
@@ -128,8 +134,8 @@ def apply_map(text: str, replace: Mapping[str, str], allowed: str | None = None)
     if not replace:
         return F.col(text)
     table = "map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in sorted(replace.items())) + ")"
-    hit = member("x", replace) + (f" AND NOT array_contains({allowed}, x)" if allowed else "")
-    return F.expr(f"array_join(transform(regexp_extract_all({text}, '{LETTER_SEGMENTS}', 0), x -> CASE WHEN {hit} THEN {table}[x] ELSE x END), '')")
+    hit = member("x", replace) + (" AND NOT array_contains(_own, x)" if allowed else "")
+    return F.expr(_once(allowed, f"array_join(transform(regexp_extract_all({text}, '{LETTER_SEGMENTS}', 0), x -> CASE WHEN {hit} THEN {table}[x] ELSE x END), '')"))
 
 
 def squeeze(text: Column) -> Column:
@@ -145,7 +151,7 @@ def drop_bad_sentences(text: str, words: Collection[str], names: Collection[str]
     strip_ = "regexp_replace(s, '(?U)^\\\\s+|\\\\s+$', '')"
     joined = f"array_join(filter(transform(ps, q -> array_join(transform(q.ok, s -> {strip_}), ' ')), p -> p <> ''), '\\n\\n')"
     count = lambda x: f"aggregate(ps, 0, (a, q) -> a + {x})"
-    return F.expr(f"transform(array({parts}), ps -> named_struct('text', {joined}, 'kept', {count('size(q.ok)')}, 'dropped', {count('q.n - size(q.ok)')}))[0]")
+    return F.expr(_once(allowed, f"transform(array({parts}), ps -> named_struct('text', {joined}, 'kept', {count('size(q.ok)')}, 'dropped', {count('q.n - size(q.ok)')}))[0]"))
 
 
 def subject_names(title: str, text: str, words: Collection[str]) -> Column:

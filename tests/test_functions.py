@@ -81,3 +81,25 @@ def test_fix_punct_property(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in df.select(tx.fix_punct(F.col("text")).alias("x")).collect():
         assert not re.search(r"[;:]|([.,?!])\1|[ \t]{2}|\s[.,?!]", r["x"])
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("rule", [lambda: tx.apply_map("text", {"The": "x", "the": "y"}, "allowed"), lambda: tx.check("text", ["the"], ["La"], "allowed")["bad"], lambda: tx.bad_words("text", ["the"], (), "allowed"),
+                                  lambda: tx.normalize("text", ["the"], (), "allowed"), lambda: tx.drop_bad_sentences("text", ["the"], (), "allowed")["text"]])
+def test_a_rows_allowed_names_are_found_once(spark, rule):
+    """The array's expression stands outside the lambdas over words, so it is not evaluated for each of them."""
+    df = spark.createDataFrame([("The the La Le. Der",), ("",), (None,)], "text string")
+    derived = df.withColumn("allowed", F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 1)))
+    out = derived.select(rule().alias("r"))
+    plan = optimized(out)
+    assert "array_contains(lambda" in plan and "array_contains(array_distinct" not in plan
+    assert out.collect() == derived.localCheckpoint().select(rule().alias("r")).collect()
+
+
+def test_allowed_names_stay(spark):
+    df = spark.createDataFrame([("The the La.", ["The"]), ("The the La.", []), ("The the", None)], "text string, allowed array<string>")
+    got = df.select(tx.apply_map("text", {"The": "x", "the": "y"}, "allowed").alias("m"), tx.check("text", ["the"], ["La"], "allowed")["bad"].alias("b")).collect()
+    assert [r["m"] for r in got] == ["The y La.", "x y La.", "The the"] and [r["b"] for r in got[:2]] == [[], ["The"]]
