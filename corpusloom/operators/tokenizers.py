@@ -200,12 +200,15 @@ def from_bytes(token):
 
 
 def library_model(merges: list[tuple[str, str]], characters):
-    """A library's BPE model of the merges, with a vocabulary of the characters and the products."""
+    """A library's BPE model of the merges, with a vocabulary of the characters and the products.
+
+    It has no cache: word types are encoded once each, and the library does not give a cache back when its model goes.
+    """
     from tokenizers import models
 
     pairs = list(dict.fromkeys(merges))
     vocab = {t: i for i, t in enumerate(dict.fromkeys([*sorted(characters), *(x for p in pairs for x in (*p, p[0] + p[1]))]))}
-    return models.BPE(vocab=vocab, merges=pairs)
+    return models.BPE(vocab=vocab, merges=pairs, cache_capacity=0)
 
 
 def encode_types(types: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:

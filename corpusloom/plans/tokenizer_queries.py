@@ -196,7 +196,8 @@ def unreachable_tokens(spark, d):
     """Pruning without the closure: kept tokens that the remaining merges no longer make, for the closed and the unclosed keep-set."""
     types, merges = learned(spark, d)
     usage = learned_usage(types, merges)
-    keep = usage.filter("n >= 50").select("token")
+    # the types are encoded once; what is kept is at most a vocabulary, and each use of it would encode them anew
+    keep = checkpointed(usage.filter("n >= 50").select("token"))
     table_ = spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string, product string")
     out = []
     for name, kept in (("closed", tokenizers.closure(keep, table_)), ("unclosed", keep)):

@@ -179,3 +179,27 @@ def test_finetune(spark):
     assert losses[-1] < losses[0] and new.count() == 3
     bad = spark.createDataFrame([(i, [float("inf")] * 2) for i in range(3)], "id int, embedding array<float>")
     assert [r["embedding"] for r in vectors.finetune(pairs, bad, 2)[0].collect()] == [[float("inf")] * 2] * 3
+
+
+def resident_mb():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_encoding_many_types_keeps_no_memory():
+    """A model is made for each batch; batch after batch, nothing of it stays in the worker."""
+    rng = random.Random(3)
+    pairs = [(a, b) for a in "abcdefgh" for b in "abcdefgh"]
+
+    def batch():
+        words_ = ["".join(rng.choices("abcdefghijklmnop", k=10)) for _ in range(10_000)]
+        model = tokenizers.library_model(pairs, set().union(*words_))
+        for w in words_:
+            model.tokenize(w)
+
+    for _ in range(5):
+        batch()
+    before = resident_mb()
+    for _ in range(30):
+        batch()
+    assert resident_mb() - before < 60
