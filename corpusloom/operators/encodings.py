@@ -13,19 +13,52 @@ from pyspark.sql import functions as F
 from corpusloom.operators import tokenizers
 
 
+#: Code points of the texts that are encoded together; their ids and the library's records of them are what a worker holds.
+SLICE = 1 << 20
+
+
+def _slices(batches):
+    """(rows, texts) of Arrow batches whose last column is the text, up to `SLICE` code points or one text at a time; null texts are empty."""
+    for b in batches:
+        column = b.column(b.num_columns - 1)
+        start, size, texts = 0, 0, []
+        for i in range(b.num_rows):
+            t = column[i].as_py() or ""
+            if texts and size + len(t) > SLICE:
+                yield b.slice(start, i - start), texts
+                start, size, texts = i, 0, []
+            texts.append(t)
+            size += len(t)
+        if texts:
+            yield b.slice(start), texts
+
+
+def _counted(batches, most: int, encode):
+    """(token_id, n) of a task: the ids of encode(texts) are added up text by text, in one array as long as the vocabulary in use."""
+    total = np.zeros(most, np.int64)
+    for _, texts in _slices(batches):
+        for ids in encode(texts):
+            if len(ids):
+                n = np.bincount(ids)
+                if len(n) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                total[: len(n)] += n
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["token_id", "n"])
+
+
 def rank_file_usage(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(token_id, n): counts of each id, summed within Arrow batches before anything is shuffled."""
+    """(token_id, n): counts of each id, summed within tasks before anything is shuffled."""
 
     def rows(batches):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        most = max(ranks.values(), default=-1) + 1
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for b in batches:
-            ids = [x for t in b.column(0).to_pylist() for x in enc.encode_ordinary(t or "")]
-            found, n = np.unique(np.array(ids, np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["token_id", "n"])
+        del ranks
+        yield from _counted(batches, most, lambda texts: (np.array(enc.encode_ordinary(t), np.int32) for t in texts))
 
     return docs.select("text").mapInArrow(rows, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
@@ -39,10 +72,7 @@ def json_usage(docs: DataFrame, tok: dict) -> DataFrame:
 
         t = Tokenizer.from_str(sent.value)
         t.encode_special_tokens = True
-        for b in batches:
-            coded = t.encode_batch([x or "" for x in b.column(0).to_pylist()], add_special_tokens=False)
-            found, n = np.unique(np.array([i for c in coded for i in c.ids], np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["token_id", "n"])
+        yield from _counted(batches, 0, lambda texts: (np.array(c.ids, np.int32) for c in t.encode_batch(texts, add_special_tokens=False)))
 
     return docs.select("text").mapInArrow(rows, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
@@ -58,8 +88,7 @@ def compare(docs: DataFrame, old: dict, new: dict, *keep: str) -> DataFrame:
 
         a, b = map(Tokenizer.from_str, sent.value)
         a.encode_special_tokens = b.encode_special_tokens = True
-        for batch in batches:
-            text = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch, text in _slices(batches):
             x, y = (t.encode_batch(text, add_special_tokens=False) for t in (a, b))
             back = b.decode_batch([e.ids for e in y], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays(

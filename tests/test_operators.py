@@ -203,3 +203,22 @@ def test_encoding_many_types_keeps_no_memory():
     for _ in range(30):
         batch()
     assert resident_mb() - before < 60
+
+
+def test_usage_is_counted_in_slices(monkeypatch):
+    """A batch's texts are encoded in slices of bounded size; a slice is cut between texts, and a null text is empty."""
+    import pyarrow as pa
+
+    from corpusloom.operators import encodings
+
+    monkeypatch.setattr(encodings, "SLICE", 10)
+    texts = ["abc", "abcd", None, "", "abcdef", "x" * 25, "y", "z" * 10]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["k", "text"]), pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["k", "text"])]
+    got = list(encodings._slices(iter(batches)))
+    assert [t for _, s in got for t in s] == [t or "" for t in texts] and [x for b, _ in got for x in b.column(0).to_pylist()] == list(range(8))
+    assert all(len(s) == b.num_rows and (len(s) == 1 or sum(map(len, s)) <= 10) for b, s in got) and len(got) == 5
+    seen = []
+    rows = list(encodings._counted(iter(batches), 0, lambda s: (seen.append(len(s)), ([ord(c) for c in t] for t in s))[1]))
+    assert len(rows) == 1 and max(seen) < 8
+    want = {ord(c): "".join(t or "" for t in texts).count(c) for c in set("".join(t or "" for t in texts))}
+    assert dict(zip(rows[0].column(0).to_pylist(), rows[0].column(1).to_pylist())) == want
