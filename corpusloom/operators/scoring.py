@@ -84,10 +84,22 @@ def missing_tokens(pairs: DataFrame, vocab: DataFrame, k: int = 15) -> DataFrame
     return gone.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
 
 
-def bigrams(docs: DataFrame, tokens: str) -> DataFrame:
-    """(a, b, n): neighbours inside each row's token array."""
-    two = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    return docs.select(F.explode(two).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+#: Bytes of text whose pairs are counted together.
+CHUNK = 8 << 20
+
+
+def bigrams(docs: DataFrame, text: str, tokens: Column) -> DataFrame:
+    """(a, b, n): neighbours inside each row's token array, which is made of the text column.
+
+    Texts are dealt to chunks of about `CHUNK` bytes, a task each; pairs are counted inside a chunk, where no shuffle is needed, then over chunks in as many parts as there
+    are chunks. So a task's table of pairs grows neither with the table nor with the size of file splits, and a frequent pair is one row a chunk.
+    """
+    n = max((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // CHUNK + 1, docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = docs.select(text, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("_chunk")).repartitionById(n, "_chunk").select("_chunk", tokens.alias("t"))
+    less = F.greatest(F.size("t") - 1, F.lit(0))
+    two = F.zip_with(F.slice("t", F.lit(1), less), F.slice("t", F.lit(2), less), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    inside = dealt.select("_chunk", F.explode(two).alias("p")).groupBy("_chunk", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    return inside.repartition(n, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def greedy(pairs: DataFrame, start: str, n: int) -> list[str]:

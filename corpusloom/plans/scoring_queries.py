@@ -148,14 +148,17 @@ def text_length_ratio(spark, d):
     return docs(spark, d).filter(F.length("text") > 0).select("doc_id", F.round(length_ratio(F.regexp_replace("text", "[aeiou]", ""), F.col("text")), 6).alias("ratio"))
 
 
+def lower_words():
+    return F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
+
+
 @register(
     "token_bigrams",
     """WITH x AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS t FROM documents), p AS (SELECT unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM x WHERE len(t) > 1)
 SELECT a, b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5""",
 )
 def token_bigrams(spark, d):
-    t = docs(spark, d).select(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("t"))
-    return scoring.bigrams(t, "t").filter("n >= 5")
+    return scoring.bigrams(docs(spark, d), "text", lower_words()).filter("n >= 5")
 
 
 @register(
@@ -165,8 +168,7 @@ c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), best AS (SELECT a, b FROM
 r AS (SELECT 0 AS pos, 'the' AS token UNION ALL SELECT pos + 1, b FROM r JOIN best ON a = token WHERE pos < 16) SELECT pos, token FROM r""",
 )
 def greedy_generation(spark, d):
-    t = docs(spark, d).select(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w)).alias("t"))
-    said = scoring.greedy(scoring.bigrams(t, "t"), "the", 16)
+    said = scoring.greedy(scoring.bigrams(docs(spark, d), "text", lower_words()), "the", 16)
     return spark.createDataFrame(list(enumerate(said)), "pos int, token string")
 
 

@@ -222,3 +222,19 @@ def test_usage_is_counted_in_slices(monkeypatch):
     assert len(rows) == 1 and max(seen) < 8
     want = {ord(c): "".join(t or "" for t in texts).count(c) for c in set("".join(t or "" for t in texts))}
     assert dict(zip(rows[0].column(0).to_pylist(), rows[0].column(1).to_pylist())) == want
+
+
+def test_pairs_are_counted_in_chunks(spark, monkeypatch):
+    """Counts are those of a plain loop, and the parts grow with the text whatever the session's number of partitions."""
+    from collections import Counter
+
+    from corpusloom.operators import scoring
+
+    monkeypatch.setattr(scoring, "CHUNK", 100)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["the", "of", "big", "The", "x"], k=rng.randint(0, 12))) for _ in range(200)] + [None, "", "the", "a b " * 100]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    two = scoring.bigrams(df, "text", F.split("text", " "))
+    assert two.rdd.getNumPartitions() == sum(len(t or "") for t in texts) // 100 + 1
+    split = [t.split(" ") for t in texts if t is not None]
+    assert {(r["a"], r["b"]): r["n"] for r in two.collect()} == dict(Counter(p for t in split for p in zip(t, t[1:])))
