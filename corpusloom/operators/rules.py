@@ -19,17 +19,23 @@ def off_list_words(docs: DataFrame, words: DataFrame, names: DataFrame) -> DataF
 
 
 def replace_words(docs: DataFrame, key: str, replace: DataFrame) -> DataFrame:
-    """docs(key, text) with each run of letters replaced by its row in replace(word, repl); one pass, no re-scan.
+    """docs(key, text) with each run of letters replaced by its row in replace(word, repl), which has a word once; one pass, no re-scan.
 
-    Segments are joined by word and put back in order by one aggregation over the key and a 128-bit hash of the text, so rows that share a key, null or not, are
-    texts of their own; rows that share both give as many equal rows.
+    A row's distinct words meet the table, only those that are in it come back, by the key and a 128-bit hash of the text, and the text is rewritten where it
+    stands. So what moves is the texts once, and the distinct words only if the table is too large to be sent to all. Rows that share a key, null or not, are
+    texts of their own; rows that share both share their replacements and stay as many.
     """
-    own = [F.col(key), F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2")]
-    texts = docs.groupBy(*own).agg(F.first("text").alias("text"), F.count("*").alias("_rows"))
-    parts = texts.select(key, "_h1", "_h2", "_rows", F.posexplode_outer(extract(F.col("text"), LETTER_SEGMENTS)).alias("pos", "s"))
-    done = parts.join(replace, parts["s"] == replace["word"], "left").select(key, "_h1", "_h2", "_rows", F.struct("pos", F.coalesce("repl", "s").alias("s")).alias("p"))
-    whole = done.groupBy(key, "_h1", "_h2", "_rows").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), "").alias("text"))
-    return whole.select(key, "text", F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int")))).select(key, "text")
+    texts = docs.select(key, "text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2"))
+    found = texts.select(F.col(key).alias("_k"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"), F.explode(F.array_distinct(extract(F.col("text"), "[A-Za-z]+"))).alias("word"))
+    hits = found.join(replace.filter("repl IS NOT NULL").select("word", "repl"), "word")
+    hits = hits.groupBy("_k", "_g1", "_g2").agg(F.collect_set(F.struct("word", "repl")).alias("hits"))
+    both = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    # a map is searched from end to end: a row's replacements are dealt over maps of about 16, by the word's hash
+    of = "pmod(hash({}), 1 + size(hits) div 16)"
+    parts = f"transform(sequence(0, size(hits) div 16), k -> map_from_entries(filter(hits, h -> {of.format('h.word')} = k)))"
+    new = f"array_join(transform(regexp_extract_all(text, '{LETTER_SEGMENTS}', 0), x -> coalesce(try_element_at(ms[{of.format('x')}], x), x)), '')"
+    joined = texts.join(hits, both, "left")
+    return joined.select(key, F.expr(f"CASE WHEN hits IS NULL THEN text ELSE transform(array({parts}), ms -> {new})[0] END").alias("text"))
 
 
 def valid_replacements(replace: DataFrame, words: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,24 @@ def test_finetune(spark):
     assert [r["embedding"] for r in vectors.finetune(pairs, bad, 2)[0].collect()] == [[float("inf")] * 2] * 3
 
 
+@pytest.mark.parametrize("sent", ["10MB", "-1"])
+def test_replacement_by_a_table(spark, sent):
+    """Rows that share a key or all, null keys and texts, words with many replacements in a row; broadcast or not, no occurrence of a word is a row."""
+    many = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [(1, "The the, THE\n"), (1, "the"), (1, "the"), (None, "the"), (None, "of the x"), (2, None), (3, ""), (4, "..."), (5, " ".join(many * 3)), (6, "none here")]
+    replace = {"the": "a b", "of": "", "x": None} | {w: w[::-1] for w in many}
+    docs = spark.createDataFrame(texts, "k long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    try:
+        df = rules.replace_words(docs, "k", spark.createDataFrame(list(replace.items()), "word string, repl string"))
+        assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = lambda t: t and re.sub("[A-Za-z]+", lambda m: m[0] if replace.get(m[0]) is None else replace[m[0]], t)
+    assert sorted(got, key=repr) == sorted(((k, plain(t)) for k, t in texts), key=repr)
+
+
 def resident_mb():
     with open("/proc/self/statm") as f:
         return int(f.read().split()[1]) * 4096 / 1e6
